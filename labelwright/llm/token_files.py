@@ -23,13 +23,50 @@ from pyspark.sql import functions as F
 from .common import cut, slices, whole_text, work_folder
 
 NO_ID = -(2**63)
-CACHE_ENTRIES = 250_000
+CACHE_ENTRIES = 500_000
 CACHE_CHARS = 48
+#: A line end between two characters that no definition calls white space is a pre-token of its own.
+_LINE = re.compile(r"(?<=\S)\n(?=\S)")
 #: A space before a character that no definition calls white space always starts a pre-token.
 _SPLIT = re.compile(r" (?=\S)")
+#: Letters and the marks after them are separate pre-tokens (an apostrophe could begin a contraction).
+_TAIL = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
 _worker: dict = {}
 
 
+class _Pieces:
+    """The ids of pieces that follow `lead`, as bytes; at most CACHE_ENTRIES and those of the batch at hand."""
+
+    def __init__(self, lead: str):
+        self.lead, self.known, self.tails = lead, {}, {}
+
+    def _encode(self, words: list[str], lead: str, into: dict, tokenizer, kind: str) -> None:
+        import numpy as np
+
+        for at in range(0, len(words), 20_000):
+            part = words[at : at + 20_000]
+            for word, e in zip(part, tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False), strict=True):
+                into[word] = np.array(e.ids, dtype=kind).tobytes()
+
+    def learn(self, needed: set, tokenizer, kind: str) -> set:
+        """Make all needed pieces known; returns those too long to keep."""
+        missing = needed - self.known.keys()
+        if not missing:
+            return missing
+        if len(self.known) + len(missing) > CACHE_ENTRIES:
+            self.known = {k: v for k, v in self.known.items() if k in needed}
+        if len(self.tails) > CACHE_ENTRIES // 16:
+            self.tails = {}
+        split = [(w, *m.groups()) for w in missing if (m := _TAIL.fullmatch(w)) and "<|" not in w]
+        whole = missing.difference(w for w, _, _ in split)
+        whole.update(core for _, core, _ in split if core not in self.known)
+        self._encode(list(whole), self.lead, self.known, tokenizer, kind)
+        self._encode(list({t for _, _, t in split} - self.tails.keys()), "", self.tails, tokenizer, kind)
+        for w, core, tail in split:
+            self.known[w] = self.known[core] + self.tails[tail]
+        return {w for w in (*whole, *missing) if len(w) > CACHE_CHARS}
+
+
 def _open(path: str):
     import os
 
@@ -41,7 +78,7 @@ def _open(path: str):
         tokenizer.no_padding()
         tokenizer.no_truncation()
         _worker.clear()
-        _worker.update(key=path, tokenizer=tokenizer, first={}, later={}, size=tokenizer.get_vocab_size(with_added_tokens=True))
+        _worker.update(key=path, tokenizer=tokenizer, first=_Pieces(""), later=_Pieces(" "), size=tokenizer.get_vocab_size(with_added_tokens=True))
     return _worker
 
 
@@ -55,35 +92,34 @@ def encode_texts(texts: list[str], path: str, width: int) -> list[bytes]:
 
     Only for byte-level tokenizers without a prefix space: their pre-tokens never cross the split used here.
     """
-    import numpy as np
+    import gc
 
     w = _open(path)
     kind = f"<u{width}"
-    split = [_SPLIT.split(t) for t in texts]
-    out_first, out_later = w["first"], w["later"]
-    need_first = {s[0] for s in split} - out_first.keys()
-    need_later: set = set()
-    for s in split:
-        need_later.update(s)  # the first piece too: one spare entry a text, and no copy of the list
-    need_later.difference_update(out_later)
-    if len(out_first) > CACHE_ENTRIES // 8:
-        out_first.clear()
-        need_first = {s[0] for s in split}
-    if len(out_later) + len(need_later) > CACHE_ENTRIES:
-        used = set().union(*split)
-        w["later"] = out_later = {k: v for k, v in out_later.items() if k in used}
-    for need, lead, into in ((need_first, "", out_first), (need_later, " ", out_later)):
-        words = list(need)
-        for at in range(0, len(words), 20_000):
-            part = words[at : at + 20_000]
-            for word, e in zip(part, w["tokenizer"].encode_batch_fast([lead + x for x in part], add_special_tokens=False), strict=True):
-                into[word] = np.array(e.ids, dtype=kind).tobytes()
-    get = out_later.__getitem__
-    out = [out_first[s[0]] + b"".join(map(get, s[1:])) for s in split]
-    for need, into in ((need_first, out_first), (need_later, out_later)):
-        for word in need:
-            if len(word) > CACHE_CHARS:
-                del into[word]
+    # no cycles are made here, and each collection would walk the caches and all the lists
+    was = gc.isenabled()
+    gc.disable()
+    try:
+        return _encode_texts(texts, w, kind)
+    finally:
+        if was:
+            gc.enable()
+
+
+def _encode_texts(texts: list[str], w: dict, kind: str) -> list[bytes]:
+    split = [[_SPLIT.split(line) for line in _LINE.split(t)] for t in texts]
+    first, later = w["first"], w["later"]
+    need_first, need_later = {"\n"}, set()
+    for lines in split:
+        for s in lines:
+            need_first.add(s[0])
+            need_later.update(s)  # the first piece too: it may come after a space elsewhere, and no copy of the list
+    drop = [(p, p.learn(need, w["tokenizer"], kind)) for p, need in ((first, need_first), (later, need_later))]
+    start, get, end = first.known, later.known.__getitem__, first.known["\n"]
+    out = [end.join([start[s[0]] + b"".join(map(get, s[1:])) for s in lines]) for lines in split]
+    for p, words in drop:
+        for word in words:
+            p.known.pop(word, None)
     return out
 
 
