@@ -129,11 +129,13 @@ def held_out(doc_id: str = "doc_id"):
 def train(docs: DataFrame, sample: int = 400, clusters: int = 4, reject: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from at most `sample` rows of each language that are not held out (those least by a hash of doc_id)."""
     h = F.xxhash64(F.col(doc_id).cast("string"))
-    slim = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()).select(F.col(lang).cast("string").alias("lang"), h.alias("h"))
-    bounds = slim.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("r") <= sample).groupBy("lang").agg(F.max("h").alias("most")).collect()
-    if not bounds:
+    labelled = ~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()
+    counts = docs.where(labelled).groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
+    if not counts:
         return fit([])
-    most = F.create_map(*(x for r in bounds for x in (F.lit(r.lang), F.lit(r.most))))
+    # hashes are uniform: about four times the sample of each language lies under its bound, whatever its size
+    under = [(r["lang"], min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * sample // r["count"])) for r in counts]
+    most = F.create_map(*(x for la, bound in under for x in (F.lit(la), F.lit(bound).cast("long"))))
 
     def features(batches: Iterator) -> Iterator:
         import numpy as np
@@ -144,7 +146,7 @@ def train(docs: DataFrame, sample: int = 400, clusters: int = 4, reject: float =
                 found = [trigrams(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([at.astype("<u2").tobytes() for at, _ in found], pa.binary()), pa.array([tf.astype("<f4").tobytes() for _, tf in found], pa.binary()), batch.column(2)], ["lang", "at", "tf", "h"])
 
-    chosen = docs.where(~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull() & (h <= most[F.col(lang).cast("string")])).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias("t"), h.alias("h"))
+    chosen = docs.where(labelled & (h <= most[F.col(lang).cast("string")])).select(F.col(lang).cast("string").alias("lang"), whole_text(text).alias("t"), h.alias("h"))
     made = chosen.mapInArrow(features, "lang string, at binary, tf binary, h long")
     # rows that repeat the last id could be more than asked for
     ranked = made.withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h", "at", "tf"))).where(F.col("r") <= sample)

@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import line_dedup, mixing
 from .common import table
 
 
@@ -51,6 +52,19 @@ def op5_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .line_dedup import drop_boilerplate
+
+    return drop_boilerplate(table(spark, sf_dir, "pages"), ratio=0.2, least_pages=3)
+
+
+def op7_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .mixing import equal_cycle, mix
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("source", F.lit("")).alias("source"))
+    return mix(docs, equal_cycle(docs), block=64)
+
+
 def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .language_id import held_out, predict, train
 
@@ -70,11 +84,15 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_simhash": op2_simhash,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
+    "op6_line_dedup": op6_line_dedup,
+    "op7_mixing": op7_mixing,
     "op8_language_id": op8_language_id,
     "op9_neighbours": op9_neighbours,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op6_line_dedup": line_dedup.SQL,
+    "op7_mixing": mixing.SQL,
     "op9_neighbours": """
 WITH v AS (
   SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings
