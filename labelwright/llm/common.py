@@ -57,6 +57,19 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+SMALL_ROWS = 400_000
+
+
+def without(df: DataFrame, keys: DataFrame, key: str, found: str) -> DataFrame:
+    """df without the rows whose whole-number `key` (null is a key like any other) is in `keys`, one column `found` of longs.
+
+    The keys are broadcast if they are at most SMALL_ROWS, counted first; else both sides are shuffled.
+    """
+    if keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
+        keys = F.broadcast(keys)
+    return df.join(keys, df[key].cast("long").eqNullSafe(keys[found]), "left_anti")
+
+
 def whole_text(text: str = "text"):
     """The text, with null read as the empty string."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

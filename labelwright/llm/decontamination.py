@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, whole_text, work_folder
+from .common import cut, slices, whole_text, without, work_folder
 
 #: Byte to byte: A-Z to a-z, other characters up to 7F that are neither digits nor letters to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -262,4 +262,4 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, **names)
     doc_id = names.get("doc_id", "doc_id")
     found = find_contamination(docs, items, window, **names)
     bad = cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct(), work_folder(docs.sparkSession), "contaminated")
-    return docs.join(bad, docs[doc_id].cast("long").eqNullSafe(bad["_bad"]), "left_anti")
+    return without(docs, bad, doc_id, "_bad")
