@@ -35,6 +35,14 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", hex_fingerprint().alias("fingerprint"), "component_id")
 
 
+def op3_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .pii import KINDS, find_personal_data, train
+
+    out = find_personal_data(table(spark, sf_dir, "documents"), train())
+    n = lambda kind: F.regexp_count("base", F.lit(f"{kind}:")).cast("long").alias(f"n_{kind}")
+    return out.select("doc_id", *map(n, KINDS), F.sha2("base", 256).alias("base_sha256"), "spans")
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -82,6 +90,7 @@ def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
     "op2_simhash": op2_simhash,
+    "op3_personal_data": op3_personal_data,
     "op4_token_counts": op4_token_counts,
     "op5_token_files": op5_token_files,
     "op6_line_dedup": op6_line_dedup,
