@@ -78,7 +78,7 @@ def build_index(docs: DataFrame, terms: list[bytes] | None = None, gap: int = 16
                 ids, at = ids[order], at[order]
                 names = list(vocabulary)
                 kinds, starts = np.unique(ids, return_index=True)
-                ends = np.append(starts[1:], len(ids))
+                ends = np.append(starts[1:], len(ids))[: len(starts)]
                 own = batch.column(0)
                 directory = np.concatenate([own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), first.astype("<i8"), n.astype("<i8"), own.is_null().to_numpy(zero_copy_only=False).astype("<i8")])
                 bodies = [directory.tobytes()] + [np.diff(at[a:b], prepend=np.uint32(0)).astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]

@@ -47,9 +47,14 @@ def trigrams(text: bytes):
     return at, 1 + np.log(n)
 
 
+def reach(n: int) -> float:
+    """About what cosine a text of n different trigrams can have with a broad centroid; it levels off for longer texts."""
+    return (min(n, 300) / 300) ** 0.5
+
+
 @dataclass
 class Model:
-    """idf by dimension; centroids as columns; the language of each column; the cosine below which a text is rejected."""
+    """idf by dimension; centroids as columns; the language of each column; the least relative cosine (see `reach`)."""
 
     idf: object
     centroids: object
@@ -57,7 +62,7 @@ class Model:
     least: float
 
     def predict(self, text: str) -> tuple[str, float]:
-        """The nearest centroid's language and cosine; und and 0 for a text without letters; und below `least`."""
+        """The nearest centroid's language and cosine; und and 0 for a text without letters; und if the cosine is under `least` of its reach."""
         import numpy as np
 
         if not self.languages or not has_letter(text):
@@ -70,7 +75,7 @@ class Model:
         near = (v @ self.centroids[at]) / norm
         best = int(np.argmax(near))
         score = float(min(1.0, max(0.0, near[best])))
-        return (self.languages[best] if score >= self.least else UNKNOWN), score
+        return (self.languages[best] if score >= self.least * reach(len(at)) else UNKNOWN), score
 
 
 def _cluster(x, k: int, rounds: int = 12):
@@ -97,15 +102,15 @@ def _cluster(x, k: int, rounds: int = 12):
     return c
 
 
-def fit(rows: list[tuple[str, object, object]], clusters: int = 4, reject: float = 0.5) -> Model:
-    """rows: (language, dimensions, 1 + ln(count)) of the sample. reject: of the least cosine of a sample row to its own language's centroids."""
+def fit(rows: list[tuple[str, object, object]], clusters: int = 4, reject: float = 0.25) -> Model:
+    """rows: (language, dimensions, 1 + ln(count)) of the sample. reject: of the least relative cosine of a sample row to its own language's centroids."""
     import numpy as np
 
     df = np.zeros(DIMENSIONS)
     for _, at, _ in rows:
         df[at] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
-    columns, languages, least = [], [], 1.0
+    columns, languages, least = [], [], 4.0
     for lang in sorted({r[0] for r in rows}):
         own = [(at, tf * idf[at]) for la, at, tf in rows if la == lang and len(at)]
         if not own:
@@ -114,11 +119,11 @@ def fit(rows: list[tuple[str, object, object]], clusters: int = 4, reject: float
         for i, (at, v) in enumerate(own):
             x[i, at] = v / np.linalg.norm(v)
         c = _cluster(x, clusters)
-        least = min(least, float((x @ c.T).max(1).min()))
+        least = min(least, *((float(v) / reach(len(at))) for v, (at, _) in zip((x @ c.T).max(1), own, strict=True)))
         columns.append(c)
         languages += [lang] * len(c)
     centroids = np.ascontiguousarray(np.concatenate(columns).T) if columns else np.zeros((DIMENSIONS, 0), np.float32)
-    return Model(idf, centroids, languages, reject * least if columns else 1.0)
+    return Model(idf, centroids, languages, reject * least if columns else 4.0)
 
 
 def held_out(doc_id: str = "doc_id"):
@@ -126,7 +131,7 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, sample: int = 400, clusters: int = 4, reject: float = 0.5, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+def train(docs: DataFrame, sample: int = 400, clusters: int = 4, reject: float = 0.25, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
     """A model from at most `sample` rows of each language that are not held out (those least by a hash of doc_id)."""
     h = F.xxhash64(F.col(doc_id).cast("string"))
     labelled = ~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()

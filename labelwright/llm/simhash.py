@@ -17,8 +17,9 @@ from __future__ import annotations
 import random
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut, slices, whole_text, work_folder
 from .components import components
@@ -143,18 +144,37 @@ def near_duplicates(docs: DataFrame, most: int = 2, shingle: int = 3, doc_id: st
 def keep_one(docs: DataFrame, most: int = 2, shingle: int = 3, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with one row of each component: the one with the smallest doc_id (of repeated rows with that id, the first by text).
 
-    Rows without an id stay if no row of their component has one.
+    A row without an id stays if no row of its component has one.
     """
+    folder = work_folder(docs.sparkSession)
     found = near_duplicates(docs, most, shingle, doc_id, text)
-    kept = cut(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), work_folder(docs.sparkSession), "kept")
+    kept = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), folder, "kept")
     own = docs[doc_id].cast("long")
     out = docs.join(kept, own == kept["_kept"], "left_semi")
-    if not kept.where("_kept is not null and _n > 1").isEmpty():
-        out = out.dropDuplicates([doc_id])
-    if not kept.where("_kept is null").isEmpty():
-        out = out.unionByName(docs.where(own.isNull()))
+    if not kept.where("_n > 1").isEmpty():
+        rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(text, F.xxhash64(*docs.columns)))
+        out = out.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
+    nameless = docs.where(own.isNull())
+    if not nameless.isEmpty():
+        alone = cut(found.where("component_id is null").select(F.col("fp").alias("_alone")).distinct(), folder, "alone")
+        marked = _with_fingerprint(nameless, shingle, text)
+        out = out.unionByName(marked.join(alone, marked["_fp"] == alone["_alone"], "left_semi").drop("_fp"))
     return out
 
 
+def _with_fingerprint(docs: DataFrame, shingle: int, text: str) -> DataFrame:
+    """docs and a last column _fp."""
+    at = docs.columns.index(text)
+
+    def run(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+
+        for batch in batches:
+            texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_batch(texts, shingle), pa.int64())], names=[*batch.schema.names, "_fp"])
+
+    return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
+
+
 def hex_fingerprint(fp: str = "fp") -> Column:
     return F.lpad(F.lower(F.hex(F.col(fp))), 16, "0")

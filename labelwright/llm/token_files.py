@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from .common import cut, slices, whole_text, work_folder
 
 NO_ID = -(2**63)
-CACHE_ENTRIES = 500_000
+CACHE_ENTRIES = 1_500_000
 CACHE_CHARS = 48
 #: A line end between two characters that no definition calls white space is a pre-token of its own.
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
