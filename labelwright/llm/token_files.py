@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import chain
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,6 +30,7 @@ CACHE_CHARS = 48
 _LINE = re.compile(r"(?<=\S)\n(?=\S)")
 #: A space before a character that no definition calls white space always starts a pre-token.
 _SPLIT = re.compile(r" (?=\S)")
+_OTHER_SPACE = re.compile(r" (?!\S)")
 #: Letters and the marks after them are separate pre-tokens (an apostrophe could begin a contraction).
 _TAIL = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
 _worker: dict = {}
@@ -45,8 +47,14 @@ class _Pieces:
 
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
-            for word, e in zip(part, tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False), strict=True):
-                into[word] = np.array(e.ids, dtype=kind).tobytes()
+            ids = [e.ids for e in tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)]
+            size = np.dtype(kind).itemsize
+            ends = (np.cumsum([len(x) for x in ids]) * size).tolist()
+            flat = np.fromiter(chain.from_iterable(ids), kind, ends[-1] // size).tobytes()
+            at_ = 0
+            for word, end in zip(part, ends, strict=True):
+                into[word] = flat[at_:end]
+                at_ = end
 
     def learn(self, needed: set, tokenizer, kind: str) -> set:
         """Make all needed pieces known; returns those too long to keep."""
@@ -107,7 +115,8 @@ def encode_texts(texts: list[str], path: str, width: int) -> list[bytes]:
 
 
 def _encode_texts(texts: list[str], w: dict, kind: str) -> list[bytes]:
-    split = [[_SPLIT.split(line) for line in _LINE.split(t)] for t in texts]
+    # where each space starts a pre-token the plain split does the same, faster
+    split = [[_SPLIT.split(line) for line in _LINE.split(t)] if _OTHER_SPACE.search(t) else [line.split(" ") for line in _LINE.split(t)] for t in texts]
     first, later = w["first"], w["later"]
     need_first, need_later = {"\n"}, set()
     for lines in split:
