@@ -1,6 +1,6 @@
 """Language ID by the nearest of several clustered centroids per language.
 
-A text is a TF-IDF vector of letter trigrams: bytes are folded to 32 classes (blank for all that is no
+A text is a TF-IDF vector of letter trigrams: bytes are folded to 32 classes (blank for ASCII that is no
 letter, a-z, and five classes of bytes beyond ASCII), so there are 32768 trigrams and each is a dimension.
 Term frequency is 1 + ln(count), vectors have length 1, nearness is the cosine. Centroids come from
 spherical k-means over a bounded sample of labelled rows; everything else reads whole texts of all rows.
@@ -20,7 +20,8 @@ from .common import slices, whole_text
 
 DIMENSIONS = 1 << 15
 UNKNOWN = "und"
-_CLASS = bytes(b + 32 - 96 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 27 + b % 5 if b >= 128 else 0 for b in range(256))
+#: a-z and A-Z: 1 to 26. C3 leads the accented Latin letters: 27. Bytes that follow a lead: 28 to 30. Other leads (other scripts): 31.
+_CLASS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 0 if b < 128 else 28 + b % 3 if b < 0xC0 else 27 if b == 0xC3 else 31 for b in range(256))
 _ASCII_LETTER = re.compile("[A-Za-z]")
 
 
