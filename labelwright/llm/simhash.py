@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, whole_text, work_folder
+from .common import cut, slices, whole_text, without, work_folder
 from .components import components
 
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -148,10 +148,12 @@ def keep_one(docs: DataFrame, most: int = 2, shingle: int = 3, doc_id: str = "do
     """
     folder = work_folder(docs.sparkSession)
     found = near_duplicates(docs, most, shingle, doc_id, text)
-    kept = cut(found.where(F.col("doc_id") == F.col("component_id")).groupBy(F.col("doc_id").alias("_kept")).agg(F.count("*").alias("_n")), folder, "kept")
+    same = F.col("doc_id") == F.col("component_id")
+    ids = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count_if(same).alias("n")).where("n <> 1"), folder, "ids")
     own = docs[doc_id].cast("long")
-    out = docs.join(kept, own == kept["_kept"], "left_semi")
-    if not kept.where("_n > 1").isEmpty():
+    # fewer rows go than stay: those that go are joined
+    out = without(docs.where(own.isNotNull()), ids.where("n = 0").select(F.col("doc_id").alias("_gone")), doc_id, "_gone")
+    if not ids.where("n > 1").isEmpty():
         rank = F.row_number().over(Window.partitionBy(doc_id).orderBy(text, F.xxhash64(*docs.columns)))
         out = out.withColumn("_rank", rank).where("_rank = 1").drop("_rank")
     nameless = docs.where(own.isNull())
