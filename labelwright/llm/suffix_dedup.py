@@ -32,7 +32,9 @@ from .common import cut, slices, whole_text, work_folder
 WINDOW, K = 100, 32
 REACH = WINDOW - K + 1
 #: Rows of a chunk, bytes of text for each bucket, anchors or suffixes a task holds before it sends them on.
-CHUNK_ROWS, BUCKET_BYTES, HELD = 1024, 24 << 20, 400_000
+CHUNK_ROWS, BUCKET_BYTES, HELD = 1024, 24 << 20, 200_000
+#: Text worked on at once when anchors are sought: about ten arrays of eight bytes for each of its bytes.
+SLICE_BYTES = 1 << 20
 _A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
 _PLACE = (1 << 28) - 1
 NO_ID = -(2**63)
@@ -305,7 +307,7 @@ def _first_pass(buckets: int):
             return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([names] * len(rows), pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "chunks", "body"])
 
         for whole in batches:
-            for batch in slices(whole, 3, 4 << 20):
+            for batch in slices(whole, 3, SLICE_BYTES):
                 col = batch.column(3)
                 kind = np.int64 if pa.types.is_large_string(col.type) else np.int32
                 at = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
