@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from ..schema import ABSENT
-from .presence import col, empty_plain, missing_derive, text
+from .presence import col, empty_plain, let, missing_derive, text
 
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)$"
 # Letters that are read in place of digits, and the digits meant.
@@ -19,8 +19,7 @@ CODE = r"(?U)\b[0-9]{2}\s*_\s*[0-9]{3,6}(?:\s*[-–]\s*[0-9]{3,6})?\b"
 
 def number(x) -> Column:
     """A plain decimal number, or null (so no exponent, no underscore, no trailing letter). [F12]"""
-    s = col(x)
-    return F.when(s.rlike(NUMBER), s.try_cast("double"))
+    return F.nullif(F.regexp_extract(col(x), NUMBER, 0), F.lit("")).try_cast("double")
 
 
 def compact(x) -> Column:
@@ -30,7 +29,7 @@ def compact(x) -> Column:
 
 def two(x) -> Column:
     """Two decimals, by the exact value of the double. [F13]"""
-    return F.regexp_replace(F.format_number(col(x), "0.00"), ",", "")
+    return F.call_function("format_number", col(x).cast("double"), F.lit("0.00"))
 
 
 def shelf_format(x) -> Column:
@@ -45,37 +44,34 @@ def code_format(x) -> Column:
 
 def price_any(x) -> Column:
     """Any number; null for '' and the absent mark. [F12]"""
-    s = compact(x)
-    return F.when(s != ABSENT, number(s))
+    return number(compact(x))
 
 
 def price_positive(x) -> Column:
     """Any number over 0. [F12]"""
-    v = number(F.translate(F.regexp_replace(text(x), " ", ""), ",", "."))
-    return F.when(v > 0, v)
+    return let(number(F.translate(F.regexp_replace(text(x), " ", ""), ",", ".")), lambda v: F.when(v > 0, v))
 
 
 def price_bounded(x) -> Column:
     """Over 0 and at most 99999.99. [F12]"""
-    v = number(compact(x))
-    return F.when((v > 0) & (v <= 99999.99), v)
+    return let(number(compact(x)), lambda v: F.when((v > 0) & (v <= 99999.99), v))
 
 
 def price_stripped(x) -> Column:
     """What is left of digits and dots, if it is a number over 0; missing marks give null. [F12]"""
-    s = F.regexp_replace(F.translate(text(x), ",", "."), "[^0-9.]", "")
-    v = F.when(s.rlike(r"^[0-9]*\.?[0-9]*$") & s.rlike("[0-9]"), s.try_cast("double"))
-    return F.when(~missing_derive(x) & (v > 0), v)
+    v = number(F.regexp_replace(F.translate(text(x), ",", "."), "[^0-9.]", ""))
+    return let(v, lambda v: F.when(~missing_derive(x) & (v > 0), v))
 
 
 def price_found(x) -> Column:
     """The first price-like part, from 1 to 99999.99. [F12]"""
-    s = compact(x)
-    whole = F.regexp_replace(F.regexp_extract(s, PRICE, 1), "[^0-9]", "")
-    part = F.regexp_extract(s, PRICE, 2)
-    cents = F.substring(F.rpad(part, 2, "0"), 1, 2)
-    v = whole.try_cast("int") + F.when(part == "", F.lit(0)).otherwise(cents.try_cast("int")) / F.lit(100.0)
-    return F.when(s.rlike(PRICE) & (F.length(whole) <= 6) & v.between(1.0, 99999.99), v)
+
+    def found(m: Column) -> Column:
+        whole = F.regexp_replace(F.regexp_extract(m, PRICE, 1), "[^0-9]", "")
+        cents = F.coalesce(F.substring(F.rpad(F.nullif(F.regexp_extract(m, PRICE, 2), F.lit("")), 2, "0"), 1, 2).try_cast("int"), F.lit(0))
+        return let(F.when(F.length(whole) <= 6, whole.try_cast("int") + cents / F.lit(100.0)), lambda v: F.when(v.between(1.0, 99999.99), v))
+
+    return let(F.regexp_extract(compact(x), PRICE, 0), found)
 
 
 def number_or(x, default: float = 0.0) -> Column:
@@ -101,26 +97,24 @@ def code_text(x) -> Column:
 
 def payload_price(raw) -> Column:
     """A price of a scanned code: digits and dots, decimals kept as two if they were there, else whole numbers stay whole. [F12]"""
-    t = text(raw)
-    s = F.regexp_replace(F.translate(t, ",", "."), "[^0-9.]", "")
-    # only the last of several dots is a decimal one
-    s = F.when(F.length(F.regexp_replace(s, "[^.]", "")) > 1, F.concat(F.regexp_replace(F.regexp_replace(s, r"\.[^.]*$", ""), r"\.", ""), F.lit("."), F.regexp_extract(s, r"\.([^.]*)$", 1))).otherwise(s)
-    v = number(s)
-    with_decimals = t.rlike(r"(?U)[,.][0-9]{1,2}\b")
-    return F.when(s == "", F.lit("")).when(v.isNull(), t).when(with_decimals, two(v)).otherwise(code_format(v))
+
+    def form(t: Column) -> Column:
+        # only the last of several dots is a decimal one
+        s = F.regexp_replace(F.regexp_replace(F.translate(t, ",", "."), "[^0-9.]", ""), r"\.(?=.*\.)", "")
+        made = lambda v: F.when(v.isNull(), F.when(s == "", "").otherwise(t)).when(t.rlike(r"(?U)[,.][0-9]{1,2}\b"), two(v)).otherwise(code_format(v))
+        return let(number(s), made)
+
+    return let(text(raw), form)
 
 
 def dot_price(x) -> Column:
     """A comma decimal as a dot decimal; anything else stays. [P1]"""
-    t = text(x)
-    s = F.translate(t, ",", ".")
-    return F.when(number(s).isNotNull(), s).otherwise(t)
+    return let(text(x), lambda t: F.when(number(F.translate(t, ",", ".")).isNotNull(), F.translate(t, ",", ".")).otherwise(t))
 
 
 def coordinate(x) -> Column:
     """One decimal; '' stays ''. [F13]"""
-    t = text(x)
-    return F.coalesce(F.regexp_replace(F.format_number(number(t), "0.0"), ",", ""), t)
+    return let(text(x), lambda t: F.coalesce(F.call_function("format_number", number(t), F.lit("0.0")), t))
 
 
 def percent_off(card, default) -> Column:
@@ -130,7 +124,11 @@ def percent_off(card, default) -> Column:
 
 def discount_text(card, default) -> Column:
     """-N% for 1 to 99 percent, else the whole difference in roubles, else the absent mark. [P9]"""
-    pct, diff = percent_off(card, default), F.floor(col(default) - col(card)).cast("int")
+    both = F.struct(percent_off(card, default).alias("pct"), F.floor(col(default) - col(card)).cast("int").alias("diff"))
+    return let(both, lambda b: _discount(b["pct"], b["diff"]))
+
+
+def _discount(pct: Column, diff: Column) -> Column:
     return F.when(pct.between(1, 99), F.concat(F.lit("-"), pct.cast("string"), F.lit("%"))).when(diff > 0, F.concat(F.lit("-"), diff.cast("string"), F.lit("р"))).otherwise(ABSENT)
 
 

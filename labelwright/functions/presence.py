@@ -12,6 +12,11 @@ def col(x) -> Column:
     return F.col(x) if isinstance(x, str) else x
 
 
+def let(x, f) -> Column:
+    """f of a value that is worked out and planned once, however often f names it."""
+    return F.get(F.transform(F.array(col(x)), f), 0)
+
+
 def strip(x) -> Column:
     """Without white space at the ends, no-break spaces included."""
     return F.regexp_replace(col(x), r"(?U)^\s+|\s+$", "")
@@ -19,8 +24,7 @@ def strip(x) -> Column:
 
 def text(x) -> Column:
     """Null and NaN text as '', else stripped text. [F33]"""
-    s = strip(F.coalesce(col(x).cast("string"), F.lit("")))
-    return F.when(s == "NaN", F.lit("")).otherwise(s)
+    return F.regexp_replace(strip(F.coalesce(col(x).cast("string"), F.lit(""))), "^NaN$", "")
 
 
 def missing_default(x) -> Column:
@@ -35,15 +39,12 @@ def missing_derive(x) -> Column:
 
 def missing_optimise(x, absent: bool = False) -> Column:
     """Missing for the row optimiser: '', nan, none, and the absent mark if asked. [P9]"""
-    t = text(x)
-    out = F.lower(t).isin("", "nan", "none")
-    return out | (t == ABSENT) if absent else out
+    return F.lower(text(x)).isin("", "nan", "none", *([ABSENT] if absent else []))
 
 
 def present_vote(x) -> Column:
     """Present for voting: not '', nan, none, nor the absent mark. [A1]"""
-    t = text(x)
-    return ~(F.lower(t).isin("", "nan", "none") | (t == ABSENT))
+    return ~F.regexp_replace(text(x), "(?i)^(nan|none)$", "").isin("", ABSENT)
 
 
 def empty_plain(x) -> Column:
@@ -53,11 +54,9 @@ def empty_plain(x) -> Column:
 
 def present_eval(x) -> Column:
     """Present for evaluation: not '', nan, nor the absent mark. [A12]"""
-    t = text(x)
-    return ~((F.lower(t).isin("", "nan")) | (t == ABSENT))
+    return ~F.regexp_replace(text(x), "(?i)^nan$", "").isin("", ABSENT)
 
 
 def present_ceiling(x) -> Column:
     """As present_eval; none and zero are absent, too."""
-    t = text(x)
-    return ~(F.lower(t).isin("", "nan", "none", "0", "0.0") | (t == ABSENT))
+    return ~F.regexp_replace(text(x), "(?i)^(nan|none|0|0\\.0)$", "").isin("", ABSENT)

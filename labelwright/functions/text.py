@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -224,7 +225,6 @@ def template(x, red=None, orange=None) -> Column:
 
 def ratio_udf():
     """Ratcliff-Obershelp similarity (no built-in gives it), in Arrow batches. [F29]"""
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")
@@ -262,7 +262,6 @@ def token_set(a: str, b: str) -> float:
 
 
 def token_set_udf():
-    import pandas as pd
     from pyspark.sql.functions import pandas_udf
 
     @pandas_udf("double")

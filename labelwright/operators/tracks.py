@@ -140,6 +140,10 @@ def tile_grid(df: DataFrame, width: str = "width", height: str = "height", size:
     return df.withColumn("tile_x", F.explode(line(width))).withColumn("tile_y", F.explode(line(height)))
 
 
+def _up_to(values, top):
+    return F.filter(values, lambda v: v <= top)
+
+
 def tile_boxes(df: DataFrame, size: int = 640, step: int = 512, least: float = 0.5) -> DataFrame:
     """Boxes by tile: cx, cy, w, h as shares of the tile, where at least half of the box is inside. [J15]
 
@@ -151,7 +155,7 @@ def tile_boxes(df: DataFrame, size: int = 640, step: int = 512, least: float = 0
         last = F.floor(F.col(hi) / step).cast("int")
         top = F.greatest(F.lit(0), F.col(n) - size).cast("int")
         near = F.when(last >= first, F.transform(F.sequence(first, last), lambda i: i * step)).otherwise(F.array().cast("array<int>"))
-        out = out.withColumn(c, F.explode(F.array_distinct(F.concat(F.filter(near, lambda v, t=top: v <= t), F.array(top)))))
+        out = out.withColumn(c, F.explode(F.array_distinct(F.concat(_up_to(near, top), F.array(top)))))
     x0, x1 = F.greatest(F.col("x_min"), F.col("tile_x").cast("double")), F.least(F.col("x_max"), F.col("tile_x") + F.lit(float(size)))
     y0, y1 = F.greatest(F.col("y_min"), F.col("tile_y").cast("double")), F.least(F.col("y_max"), F.col("tile_y") + F.lit(float(size)))
     own = (F.col("x_max") - F.col("x_min")) * (F.col("y_max") - F.col("y_min"))
