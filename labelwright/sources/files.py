@@ -102,7 +102,7 @@ def profile(df: DataFrame) -> DataFrame:
     t = {c: text(c) for c in cols}
     kinds = lambda c: F.when(t[c] == ABSENT, "absent").when(F.lower(t[c]) == "nan", "nan").when(t[c] == "", "empty").otherwise("filled")
     one = df.agg(*(F.struct(*(F.count_if(kinds(c) == k).alias(k) for k in ("filled", "absent", "nan", "empty"))).alias(c) for c in cols))
-    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`.*") if False else F.col(f"`{c}`").alias("n")) for c in cols))).alias("r")).select("r.column", "r.n.*")
+    return one.select(F.explode(F.array(*(F.struct(F.lit(c).alias("column"), F.col(f"`{c}`").alias("n")) for c in cols))).alias("r")).select("r.column", "r.n.*")
 
 
 def schema_difference(columns: list[str]) -> tuple[list[str], list[str]]:
