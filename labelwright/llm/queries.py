@@ -106,7 +106,30 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_suffix_dedup": op10_suffix_dedup,
 }
 
+_WORDS = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+OP1_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, {_WORDS} AS words FROM documents),
+pos AS (SELECT r, unnest(words) AS word, generate_subscripts(words, 1) - 1 AS p FROM d),
+item AS (SELECT DISTINCT coalesce(item_id::VARCHAR, '') AS item_id, {_WORDS} AS words FROM benchmark),
+win AS (SELECT item_id, words[i:least(i + 9, len(words))] AS w FROM (SELECT *, unnest(range(1, greatest(2, len(words) - 8))) AS i FROM item WHERE len(words) > 0)),
+dw AS (SELECT w, row_number() OVER () AS id, len(w) AS n FROM (SELECT DISTINCT w FROM win)),
+term AS (SELECT id, n, unnest(w) AS word, generate_subscripts(w, 1) - 1 AS j FROM dw),
+freq AS (SELECT word, count(*) AS f FROM pos GROUP BY word),
+anchor AS (SELECT id, n, arg_min(word, o) AS word, arg_min(j, o) AS j FROM (SELECT t.*, coalesce(f, 0) * 1000 + j AS o FROM term t LEFT JOIN freq USING (word)) GROUP BY id, n),
+cand AS (SELECT a.id, a.n, pos.r, pos.p - a.j AS s FROM anchor a JOIN pos USING (word)),
+seen AS (SELECT c.id, c.r, c.s, c.n, t.j, max(CASE WHEN q.p = c.s + t.j THEN 1 ELSE 0 END) AS exact FROM cand c JOIN term t ON t.id = c.id JOIN pos q ON q.r = c.r AND q.word = t.word AND q.p BETWEEN c.s + t.j - 2 AND c.s + t.j + 2 GROUP BY ALL),
+found AS (SELECT id, r, s, n, min(exact) = 1 AS exact FROM seen GROUP BY id, r, s, n HAVING count(*) = n),
+hit AS (SELECT f.r, f.exact, unnest(range(greatest(s, 0), least(s + n, len(d.words)))) AS p FROM found f JOIN d USING (r)),
+span AS (SELECT r, count(DISTINCT p) FILTER (exact) AS n_hit, count(DISTINCT p) AS n_near FROM hit GROUP BY r),
+ids AS (SELECT f.r, list_sort(list_distinct(list(item_id) FILTER (exact))) AS exact_ids, count(DISTINCT item_id) AS n_near_items FROM found f JOIN dw USING (id) JOIN win USING (w) GROUP BY f.r)
+SELECT doc_id, len(words)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(len(exact_ids), 0)::BIGINT AS n_items, sha256(coalesce(array_to_string(exact_ids, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AS contaminated, coalesce(n_near, 0)::BIGINT AS n_near, coalesce(n_near_items, 0)::BIGINT AS n_near_items
+FROM d LEFT JOIN span USING (r) LEFT JOIN ids USING (r)
+"""
+
 ORACLE_SQL: dict[str, str] = {
+    "op1_decontamination": OP1_SQL,
     "op6_line_dedup": line_dedup.SQL,
     "op7_mixing": mixing.SQL,
     "op9_neighbours": """
