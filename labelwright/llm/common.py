@@ -70,6 +70,21 @@ def without(df: DataFrame, keys: DataFrame, key: str, found: str) -> DataFrame:
     return df.join(keys, df[key].cast("long").eqNullSafe(keys[found]), "left_anti")
 
 
+#: Caches of this worker process, by module; a worker serves one kind of task after another.
+_caches: list[dict] = []
+
+
+def keep_cache(cache: dict) -> dict:
+    _caches.append(cache)
+    return cache
+
+
+def forget_caches() -> None:
+    """Give back what earlier kinds of tasks keep in this worker: memory is for the task at hand."""
+    for cache in _caches:
+        cache.clear()
+
+
 def whole_text(text: str = "text"):
     """The text, with null read as the empty string."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, whole_text, without, work_folder
+from .common import forget_caches, cut, slices, whole_text, without, work_folder
 
 #: Byte to byte: A-Z to a-z, other characters up to 7F that are neither digits nor letters to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -57,6 +57,7 @@ def build_index(docs: DataFrame, terms: list[bytes] | None = None, gap: int = 16
         import pyarrow as pa
         from pyspark import TaskContext
 
+        forget_caches()
         part, count = TaskContext.get().partitionId(), 0
         known = None if wanted is None else wanted.value
         for whole in batches:
@@ -175,6 +176,7 @@ def search_index(index: DataFrame, windows: list[tuple[tuple[str, ...], list[str
         import numpy as np
         import pyarrow as pa
 
+        forget_caches()
         plan, owners = shared.value
         lists, directory = {}, None
         for term, body in zip(group.column("term").to_pylist(), group.column("body").to_pylist(), strict=True):

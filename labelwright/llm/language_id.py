@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window
 
-from .common import slices, whole_text
+from .common import forget_caches, slices, whole_text
 
 DIMENSIONS = 1 << 15
 UNKNOWN = "und"
@@ -147,6 +147,7 @@ def train(docs: DataFrame, sample: int = 400, clusters: int = 4, reject: float =
         import numpy as np
         import pyarrow as pa
 
+        forget_caches()
         for whole in batches:
             for batch in slices(whole, 1, 4 << 20):
                 found = [trigrams(t) for t in batch.column(1).cast(pa.binary()).to_pylist()]
@@ -173,6 +174,7 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget_caches()
         own = shared.value
         for whole in batches:
             for batch in slices(whole, 1, 4 << 20):
@@ -191,6 +193,7 @@ def keep_known(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget_caches()
         own = shared.value
         for batch in batches:
             keep = [t is not None and own.predict(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()]

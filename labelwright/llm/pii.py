@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import forget_caches, slices, whole_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
@@ -365,6 +365,7 @@ def find_personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", te
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget_caches()
         own = shared.value
         for whole in batches:
             for batch in slices(whole, 1, 4 << 20):

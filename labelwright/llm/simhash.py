@@ -21,7 +21,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import cut, slices, whole_text, without, work_folder
+from .common import forget_caches, cut, slices, whole_text, without, work_folder
 from .components import components
 
 BLOCKS = ((0, 21), (21, 42), (42, 64))
@@ -72,6 +72,7 @@ def fingerprints(docs: DataFrame, shingle: int = 3, doc_id: str = "doc_id", text
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget_caches()
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20):
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fingerprint_batch(batch.column(1).cast(pa.binary()).to_pylist(), shingle), pa.int64())], ["doc_id", "fp"])
@@ -171,6 +172,7 @@ def _with_fingerprint(docs: DataFrame, shingle: int, text: str) -> DataFrame:
     def run(batches: Iterator) -> Iterator:
         import pyarrow as pa
 
+        forget_caches()
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_batch(texts, shingle), pa.int64())], names=[*batch.schema.names, "_fp"])

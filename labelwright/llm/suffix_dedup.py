@@ -27,7 +27,7 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, slices, whole_text, work_folder
+from .common import forget_caches, cut, slices, whole_text, work_folder
 
 WINDOW, K = 100, 32
 REACH = WINDOW - K + 1
@@ -296,6 +296,7 @@ def _first_pass(buckets: int):
         import numpy as np
         import pyarrow as pa
 
+        forget_caches()
         held, count, chunks = [], 0, {}
 
         def send():
@@ -428,6 +429,7 @@ def _second_pass(folder: str, buckets: int):
         import numpy as np
         import pyarrow as pa
 
+        forget_caches()
         notes = _chunk_notes(folder, "settled", NOTE, lambda a: a["open"] == 1)
         held: list = []  # (suffix, bytes before it backwards, doc, place, row, chunk number, lo, n)
         chunks: dict = {}
@@ -515,6 +517,7 @@ def _last_pass(folder: str, want_text: bool):
         import numpy as np
         import pyarrow as pa
 
+        forget_caches()
         whole_notes = _chunk_notes(folder, "settled", NOTE, lambda a: a["open"] == 0)
         part_notes = _chunk_notes(folder, "merged", RUN)
         for whole in batches:

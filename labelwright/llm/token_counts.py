@@ -17,14 +17,14 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import slices, whole_text
+from .common import keep_cache, slices, whole_text
 
 #: Entries of a worker's cache; it starts anew beyond that.
 CACHE_ENTRIES = 400_000
 #: Longer pre-tokens are encoded each time, so the cache's bytes are bounded too.
 CACHE_CHARS = 48
 _RUN = re.compile(" +[^ ]*")
-_worker: dict = {}
+_worker: dict = keep_cache({})
 
 
 def check_model(model) -> None:

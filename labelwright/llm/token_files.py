@@ -21,7 +21,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, slices, whole_text, work_folder
+from .common import keep_cache, cut, slices, whole_text, work_folder
 
 NO_ID = -(2**63)
 CACHE_ENTRIES = 1_500_000
@@ -33,7 +33,7 @@ _SPLIT = re.compile(r" (?=\S)")
 _OTHER_SPACE = re.compile(r" (?!\S)")
 #: Letters and the marks after them are separate pre-tokens (an apostrophe could begin a contraction).
 _TAIL = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
-_worker: dict = {}
+_worker: dict = keep_cache({})
 
 
 class _Pieces:
