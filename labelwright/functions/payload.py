@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..schema import QR_COLUMNS, QR_PRICE_COLUMNS
 from .ident import only_digits, scanner_barcode
 from .money import payload_price
-from .presence import col, strip
+from .presence import col, let, strip
 
 # Keys of a payload, in lower case, and the fields they mean.
 KEYS = {
@@ -21,20 +21,22 @@ KEYS = {
 
 def decode(x) -> Column:
     """Percent and plus decoding; a text that can't be decoded has its pluses read as blanks only."""
-    return F.coalesce(F.try_url_decode(col(x)), F.translate(col(x), "+", " "))
+    return let(x, lambda v: F.coalesce(F.try_url_decode(v), F.translate(v, "+", " ")))
+
+
+def _pairs(t: Column) -> Column:
+    """Lower-case keys and values of a decoded payload: a full URL, ?query or a bare query; blank values go."""
+    full = lambda t: F.when(t.rlike("^https?://"), t).when(t.startswith("?"), F.concat(F.lit("https://x"), t)).otherwise(F.concat(F.lit("https://x?"), t))
+    query = lambda u: F.coalesce(F.nullif(F.regexp_extract(u, r"^[^?#]*\?([^#]*)", 1), F.lit("")), F.regexp_replace(u, r"^https?://[^/?#]*", ""))
+    pair = lambda p: F.struct(F.lower(strip(decode(F.substring_index(p, "=", 1)))).alias("k"), strip(decode(F.regexp_replace(p, "^[^=]*=", ""))).alias("v"))
+    parts = F.filter(F.split(let(let(t, full), query), "&"), lambda p: p.contains("="))
+    return F.filter(F.transform(parts, pair), lambda p: p["v"] != "")
 
 
 def payload_fields(raw, strict: bool = False) -> Column:
     """Struct of the eleven fields of a payload (null where it has none): full URL, ?query or bare query; keys in any case; the last of a key counts. [F35]"""
-    t = strip(decode(strip(F.coalesce(col(raw), F.lit("")))))
-    full = F.when(t.rlike("^https?://"), t).when(t.startswith("?"), F.concat(F.lit("https://x"), t)).otherwise(F.concat(F.lit("https://x?"), t))
-    query = F.regexp_replace(F.regexp_extract(full, r"^[^?#]*\?([^#]*)", 1), "#.*$", "")
-    query = F.when(query == "", F.regexp_replace(full, r"^https?://[^/?#]*", "")).otherwise(query)
-    parts = F.filter(F.split(query, "&"), lambda p: p.contains("="))
-    pair = lambda p: F.struct(F.lower(strip(decode(F.substring_index(p, "=", 1)))).alias("k"), strip(decode(F.substring(p, F.instr(p, "=") + 1, F.length(p)))).alias("v"))
-    pairs = F.filter(F.transform(parts, pair), lambda p: p["v"] != "")
-
-    def field(name: str) -> Column:
+
+    def field(name: str, pairs: Column) -> Column:
         keys = [k for k, f in KEYS.items() if f == name]
         raws = F.transform(F.filter(pairs, lambda p: p["k"].isin(keys)), lambda p: p["v"])
         if name == "qr_code_barcode":
@@ -43,21 +45,25 @@ def payload_fields(raw, strict: bool = False) -> Column:
             raws = F.transform(raws, payload_price)
         return F.element_at(F.concat(F.array(F.lit(None).cast("string")), F.filter(raws, lambda v: v != "")), -1)
 
-    return F.struct(*(F.when(t != "", field(c)).alias(c) for c in QR_COLUMNS))
+    t = strip(decode(strip(F.coalesce(col(raw), F.lit("")))))
+    return let(_pairs(t), lambda ps: F.struct(*(field(c, ps).alias(c) for c in QR_COLUMNS)))
 
 
 def payload_map(raw, strict: bool = False) -> Column:
     """The same as a map without the missing fields."""
-    s = payload_fields(raw, strict)
-    return F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), s[c].alias("value")) for c in QR_COLUMNS)), lambda e: e["value"].isNotNull()))
+    return let(payload_fields(raw, strict), lambda s: F.map_from_entries(F.filter(F.array(*(F.struct(F.lit(c).alias("key"), s[c].alias("value")) for c in QR_COLUMNS)), lambda e: e["value"].isNotNull())))
 
 
 def route(raw) -> Column:
     """Fields of any scanned text: 8 to 15 bare digits are a barcode; else a query; else 12 to 14 digits somewhere. [F36]"""
+
+    def pick(both: Column) -> Column:
+        t, parsed = both["t"], both["parsed"]
+        some = F.coalesce(*(parsed[c] for c in QR_COLUMNS)).isNotNull()
+        d = only_digits(t)
+        bare = t.rlike("^[0-9]{8,15}$")
+        code = F.when(bare | (~some & F.length(d).between(12, 14)), F.nullif(scanner_barcode(d, True), F.lit("")))
+        return F.struct(*(F.when(bare | ~some, code if c == "qr_code_barcode" else F.lit(None).cast("string")).otherwise(parsed[c]).alias(c) for c in QR_COLUMNS))
+
     t = strip(F.coalesce(col(raw), F.lit("")))
-    parsed = payload_fields(t, strict=True)
-    some = F.greatest(*(F.when(parsed[c].isNotNull(), 1).otherwise(0) for c in QR_COLUMNS)) == 1
-    d = only_digits(t)
-    bare = t.rlike("^[0-9]{8,15}$")
-    code = F.when(bare | (~some & F.length(d).between(12, 14)), F.nullif(scanner_barcode(d, True), F.lit("")))
-    return F.struct(*(F.when(bare | ~some, code if c == "qr_code_barcode" else F.lit(None).cast("string")).otherwise(parsed[c]).alias(c) for c in QR_COLUMNS))
+    return let(F.struct(t.alias("t"), payload_fields(t, strict=True).alias("parsed")), pick)
