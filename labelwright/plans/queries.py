@@ -581,8 +581,8 @@ def j10_near_pairs(spark, sf):
 
 
 @query(
-    f"""{with_(OBS)}, c AS (SELECT *, CASE WHEN {sql_ean("qr_code_barcode")} <> '' THEN {sql_ean("qr_code_barcode")} ELSE {sql_ean("barcode")} END AS code FROM observations)
-SELECT filename, CASE WHEN code = '' THEN 0 ELSE 1 END AS coded, count(*) AS n_rows, CASE WHEN any_value(code) = '' THEN count(*) ELSE count(DISTINCT code) END AS n_tags FROM c GROUP BY filename, coded"""
+    f"""{with_(OBS)}, c AS (SELECT *, CASE WHEN {sql_ean("qr_code_barcode")} <> '' THEN {sql_ean("qr_code_barcode")} ELSE {sql_ean("barcode")} END AS ean_key FROM observations)
+SELECT filename, CASE WHEN ean_key = '' THEN 0 ELSE 1 END AS coded, count(*) AS n_rows, CASE WHEN any_value(ean_key) = '' THEN count(*) ELSE count(DISTINCT ean_key) END AS n_tags FROM c GROUP BY filename, coded"""
 )
 def j11_merge_by_code(spark, sf):
     m = D.merge_by_code(K.observations(spark, sf)).withColumn("coded", F.when(D.code_key() == "", 0).otherwise(1))
