@@ -17,6 +17,7 @@ from ..operators import evaluate as E
 from ..operators import rules as R
 from ..operators import tracks as T
 from ..operators import vote as V
+from ..sources.work import cut
 from ..schema import BOX_COLUMNS, CONTENT_COLUMNS, STRUCTURAL_COLUMNS, TAG_COLUMNS
 from . import carriers as K
 from .carriers import CATALOG_SQL, DETECTIONS_SQL, FRAMES_SQL, OBSERVATIONS_SQL, sql_bounded, sql_compact, sql_digits, sql_ean, sql_number, sql_positive, sql_sku, sql_two, sql_valid
@@ -264,7 +265,7 @@ def p6_p7_overlay(spark, sf):
 
 @query()
 def p9_optimise(spark, sf):
-    out = R.optimise(K.observations(spark, sf))
+    out = R.optimise(cut(K.observations(spark, sf)))
     return out.select("row_id", *CONTENT_COLUMNS, F.to_json("changes").alias("changes"))
 
 
@@ -276,7 +277,7 @@ def p10_optimise_report(spark, sf):
 
 @query()
 def a19_change_counts(spark, sf):
-    return R.change_counts(R.optimise(K.observations(spark, sf)))
+    return R.change_counts(R.optimise(cut(K.observations(spark, sf))))
 
 
 _CMISS = "lower(trim({0})) IN ('', 'nan', 'none')"
@@ -394,7 +395,7 @@ FROM probes p LEFT JOIN bkey q ON q.key = p.qr LEFT JOIN bkey b ON b.key = p.bc
 WHERE branch IS NOT NULL"""
 )
 def j1_j3_lookup_key(spark, sf):
-    out = C.lookup_key(K.observations(spark, sf), _catalog(spark, sf))
+    out = C.lookup_key(cut(K.observations(spark, sf)), _catalog(spark, sf))
     return out.select("row_id", "branch", F.when(F.col("branch").contains("barcode"), F.col("entry.barcode")).alias("barcode"))
 
 
@@ -430,7 +431,7 @@ def j5_lookup_price_name(spark, sf):
 
 @query()
 def j7_j8_enrich(spark, sf):
-    return C.enrich(K.observations(spark, sf), _catalog(spark, sf)).select("row_id", "tier", "product_name", "id_sku", "barcode", "price_default", "price_card", "code")
+    return C.enrich(cut(K.observations(spark, sf)), _catalog(spark, sf)).select("row_id", "tier", "product_name", "id_sku", "barcode", "price_default", "price_card", "code")
 
 
 @query(
@@ -444,7 +445,7 @@ LEFT JOIN skey s ON s.key = CASE WHEN p.sku <> '' THEN p.sku WHEN length(p.sku_d
 SELECT filename, branch, count(*) AS n FROM f GROUP BY GROUPING SETS ((filename, branch), (branch))"""
 )
 def j17_a17_branch_report(spark, sf):
-    o = K.observations(spark, sf)
+    o = cut(K.observations(spark, sf))
     found = C.branches(o, _catalog(spark, sf)).join(o.select("row_id", "filename"), "row_id")
     return C.branch_report(found, "filename")
 
@@ -464,7 +465,7 @@ t AS (SELECT track, v, sum(wt ORDER BY o) AS total, min(o) AS first FROM b WHERE
 SELECT track, first(v ORDER BY round(total, 9) DESC, first) AS value FROM t GROUP BY track"""
 )
 def a1_a4_vote_barcode(spark, sf):
-    _, chosen = V.decisions(K.observations(spark, sf), ["track"])
+    _, chosen = V.decisions(cut(K.observations(spark, sf)), ["track"])
     return chosen.where("field = 'barcode'").select("track", "value")
 
 
@@ -474,13 +475,13 @@ t AS (SELECT track, lower(color) AS k, first(color ORDER BY cand) AS v, sum(weig
 SELECT track, first(v ORDER BY round(total, 9) DESC, first) AS value, round(least(1.0::DOUBLE, first(total ORDER BY round(total, 9) DESC, first) / sum(total)), 9) AS confidence FROM t GROUP BY track"""
 )
 def a1_a8_vote_colour(spark, sf):
-    _, chosen = V.decisions(K.observations(spark, sf), ["track"])
+    _, chosen = V.decisions(cut(K.observations(spark, sf)), ["track"])
     return chosen.where("field = 'color'").select("track", "value", F.round("confidence", 9).alias("confidence"))
 
 
 @query()
 def a2_p8_vote_rows(spark, sf):
-    out = V.vote(K.observations(spark, sf), ["track"])
+    out = V.vote(cut(K.observations(spark, sf)), ["track"])
     return out.select(*[c for c in out.columns if c not in ("sources", "confidences")], F.to_json("sources").alias("sources"))
 
 
@@ -576,8 +577,7 @@ def j18_nearest_frames(spark, sf):
 
 @query()
 def j10_near_pairs(spark, sf):
-    o = K.observations(spark, sf).where("filename <> ''")
-    return D.near_pairs(o)
+    return D.near_pairs(cut(K.observations(spark, sf)))
 
 
 @query(
@@ -585,7 +585,7 @@ def j10_near_pairs(spark, sf):
 SELECT filename, CASE WHEN ean_key = '' THEN 0 ELSE 1 END AS coded, count(*) AS n_rows, CASE WHEN any_value(ean_key) = '' THEN count(*) ELSE count(DISTINCT ean_key) END AS n_tags FROM c GROUP BY filename, coded"""
 )
 def j11_merge_by_code(spark, sf):
-    m = D.merge_by_code(K.observations(spark, sf)).withColumn("coded", F.when(D.code_key() == "", 0).otherwise(1))
+    m = D.merge_by_code(cut(K.observations(spark, sf))).withColumn("coded", F.when(D.code_key() == "", 0).otherwise(1))
     return m.groupBy("filename", "coded").agg(F.sum("n_merged").alias("n_rows"), F.count("*").alias("n_tags"))
 
 
@@ -619,12 +619,11 @@ def u6_u9_attempts(spark, sf):
 
 
 def _pred_truth(spark, sf):
-    o = K.observations(spark, sf)
+    o = cut(K.observations(spark, sf))
     truth = E.normal_truth(o.where("cand % 2 = 1").withColumnRenamed("filename", "f").withColumns({"filename": F.col("f"), "video": F.col("f"), "gt_id": F.col("row_id")})).select("video", "gt_id", *TAG_COLUMNS)
-    pred = R.conform(o.where("cand % 3 <> 2").withColumn("price_card", F.when(F.col("cand") % 4 == 1, "1,00").otherwise(F.col("price_card"))))
     ids = o.where("cand % 3 <> 2")
     pred = ids.select(F.col("filename").alias("video"), F.col("row_id").alias("pred_id"), *(F.col(c).cast("string").alias(c) for c in TAG_COLUMNS))
-    return pred, truth
+    return cut(pred), cut(truth)
 
 
 _TRUTH_BC = f"(CASE WHEN length({sql_digits('barcode')}) = 14 AND {sql_digits('barcode')} LIKE '%0' AND {sql_valid('substr(' + sql_digits('barcode') + ', 1, 13)')} THEN substr({sql_digits('barcode')}, 1, 13) WHEN {sql_digits('barcode')} <> '' AND length({sql_digits('barcode')}) < 13 THEN lpad({sql_digits('barcode')}, 13, '0') ELSE {sql_digits('barcode')} END)"
@@ -707,7 +706,7 @@ def a21_weighted_mean(spark, sf):
 @query()
 def entry_resolve_tags(spark, sf):
     """Candidates to one clean row a tag, with the catalog."""
-    return resolve_tags(K.observations(spark, sf), _catalog(spark, sf))
+    return resolve_tags(cut(K.observations(spark, sf)), _catalog(spark, sf))
 
 
 def _sql_name_wins(cur: str, new: str) -> str:
@@ -721,7 +720,7 @@ SELECT row_id, CASE WHEN en <> '' AND ({_sql_name_wins("product_name", "en")}) T
 )
 def flagship_exact_enrichment(spark, sf):
     """Candidates with the catalog's name and prices where a code finds its entry exactly."""
-    o, cat = K.observations(spark, sf), _catalog(spark, sf)
+    o, cat = cut(K.observations(spark, sf)), _catalog(spark, sf)
     side = cat.where("key_kind = 'barcode'").select("key", C.entry_struct())
     probes = o.select("row_id", F.posexplode(F.array(ident.normal_ean("qr_code_barcode", repair=True), ident.normal_ean("barcode", repair=True))).alias("i", "key")).where("key <> ''")
     hit = probes.join(side, "key").groupBy("row_id").agg(F.min_by("entry", "i").alias("entry"))
