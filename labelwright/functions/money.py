@@ -32,7 +32,7 @@ def two(x) -> Column:
     return F.call_function("format_number", col(x).cast("double"), F.lit("0.00"))
 
 
-def shelf_format(x) -> Column:
+def comma_format(x) -> Column:
     """Two decimals after a comma. [F13]"""
     return F.translate(two(x), ".", ",")
 
@@ -82,12 +82,12 @@ def number_or(x, default: float = 0.0) -> Column:
 def price_text(x, comma: bool) -> Column:
     """A bounded price with two decimals, else ''. [F12]"""
     v = price_bounded(x)
-    return F.coalesce(shelf_format(v) if comma else two(v), F.lit(""))
+    return F.coalesce(comma_format(v) if comma else two(v), F.lit(""))
 
 
-def shelf_text(x) -> Column:
+def comma_text(x) -> Column:
     """Two decimals after a comma; text that is no number stays. [F13]"""
-    return F.coalesce(shelf_format(price_any(x)), text(x))
+    return F.coalesce(comma_format(price_any(x)), text(x))
 
 
 def code_text(x) -> Column:
@@ -219,13 +219,13 @@ def choose_prices(candidates, all_prices) -> Column:
     low = F.array_min(values)
     bare = F.array_sort(F.array_distinct(F.transform(F.filter(col(all_prices), lambda p: p >= 10.0), lambda p: F.round(p, 2))))
     return (
-        F.when(F.size(cards) > 0, pair(shelf_format(card), F.when(F.abs(by_card - card) > 0.009, shelf_format(by_card)).otherwise(none)))
-        .when((F.size(dflts) > 0) & several, pair(shelf_format(under), shelf_format(dflt)))
-        .when(several & outdone, pair(shelf_format(top["value"]), F.coalesce(shelf_format(unglue(above(top["value"]), top["value"])), none)))
-        .when(several, pair(shelf_format(low), shelf_format(unglue(F.coalesce(above(low), F.array_max(values)), low))))
-        .when(F.size(by_score) > 0, pair(shelf_format(top["value"]), none))
-        .when(F.size(bare) >= 2, pair(shelf_format(F.array_min(bare)), shelf_format(F.array_max(bare))))
-        .when(F.size(bare) == 1, pair(shelf_format(F.get(bare, 0)), none))
+        F.when(F.size(cards) > 0, pair(comma_format(card), F.when(F.abs(by_card - card) > 0.009, comma_format(by_card)).otherwise(none)))
+        .when((F.size(dflts) > 0) & several, pair(comma_format(under), comma_format(dflt)))
+        .when(several & outdone, pair(comma_format(top["value"]), F.coalesce(comma_format(unglue(above(top["value"]), top["value"])), none)))
+        .when(several, pair(comma_format(low), comma_format(unglue(F.coalesce(above(low), F.array_max(values)), low))))
+        .when(F.size(by_score) > 0, pair(comma_format(top["value"]), none))
+        .when(F.size(bare) >= 2, pair(comma_format(F.array_min(bare)), comma_format(F.array_max(bare))))
+        .when(F.size(bare) == 1, pair(comma_format(F.get(bare, 0)), none))
         .otherwise(pair(none, none))
     )
 

@@ -48,14 +48,14 @@ def date_time(x, keep_invalid: bool = False) -> Column:
     return F.when(F.coalesce(real, F.lit(False)), made).otherwise(other)
 
 
-def shelf_code(x) -> Column:
+def print_code(x) -> Column:
     """NN_NNN with an optional second number, without blanks; '' if none. [F22]"""
     return F.translate(F.regexp_replace(F.regexp_extract(F.coalesce(col(x), F.lit("")), f"({CODE})", 1), r"(?U)\s", ""), "–", "-")
 
 
 def first_code(texts) -> Column:
     """The first code of several texts, else the absent mark. [F22]"""
-    return F.coalesce(F.get(F.filter(F.transform(col(texts), lambda t: shelf_code(numeric_text(t))), lambda c: c != ""), 0), F.lit(ABSENT))
+    return F.coalesce(F.get(F.filter(F.transform(col(texts), lambda t: print_code(numeric_text(t))), lambda c: c != ""), 0), F.lit(ABSENT))
 
 
 def symbol(x) -> Column:

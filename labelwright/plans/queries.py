@@ -120,7 +120,7 @@ SELECT row_id, CASE WHEN day IS NOT NULL AND TRY_CAST(x.h AS INT) < 24 AND TRY_C
   CASE special_symbols WHEN 'k' THEN 'К' ELSE special_symbols END AS symbol FROM t"""
 )
 def f17_f23_dates_codes_symbols(spark, sf):
-    return K.observations(spark, sf).select("row_id", names.date_time("print_datetime").alias("print_datetime"), names.shelf_code("code").alias("code"), names.symbol("special_symbols").alias("symbol"))
+    return K.observations(spark, sf).select("row_id", names.date_time("print_datetime").alias("print_datetime"), names.print_code("code").alias("code"), names.symbol("special_symbols").alias("symbol"))
 
 
 def _sql_count(x: str, p: str) -> str:
@@ -139,7 +139,7 @@ def f28_name_quality(spark, sf):
 
 @query()
 def f26_f27_name_cleaning(spark, sf):
-    return K.observations(spark, sf).select("row_id", names.product_name(F.concat_ws(" | ", "product_name", "additional_info")).alias("shelf_name"), names.vote_name("product_name").alias("vote_name"), names.vote_name_score("product_name", F.lit(1.0)).alias("score"), names.fuzzy_name("product_name").alias("fuzzy"))
+    return K.observations(spark, sf).select("row_id", names.product_name(F.concat_ws(" | ", "product_name", "additional_info")).alias("printed_name"), names.vote_name("product_name").alias("vote_name"), names.vote_name_score("product_name", F.lit(1.0)).alias("score"), names.fuzzy_name("product_name").alias("fuzzy"))
 
 
 _TOK = "list_distinct(regexp_extract_all(lower({0}), '[0-9a-zа-яё]+'))"

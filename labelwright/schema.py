@@ -24,7 +24,7 @@ COMPACT_COLUMNS = ["product_name", "price_default", "price_card", "price_discoun
 STRUCTURAL_COLUMNS = ["price_discount", "action_price_qr", "action_code_qr", "wholesale_level_1_count", "wholesale_level_1_price", "wholesale_level_2_count", "wholesale_level_2_price"]
 QR_COLUMNS = [c for c in TAG_COLUMNS[18:]]
 QR_PRICE_COLUMNS = ["price1_qr", "price2_qr", "price3_qr", "price4_qr", "wholesale_level_1_price", "wholesale_level_2_price", "action_price_qr"]
-SHELF_PRICE_COLUMNS = ["price_default", "price_card", "price_discount"]
+PRINTED_PRICE_COLUMNS = ["price_default", "price_card", "price_discount"]
 
 TAG_SCHEMA = T.StructType([T.StructField(c, T.DoubleType() if c in NUMERIC_COLUMNS else T.StringType()) for c in TAG_COLUMNS])
 SINK_SCHEMA = T.StructType([T.StructField(c, T.StringType()) for c in TAG_COLUMNS])
