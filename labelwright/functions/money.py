@@ -145,23 +145,30 @@ def looks_like_date_or_code(x) -> Column:
 
 def prices(x) -> Column:
     """All prices in a text, ascending: no percents, dates, codes or item counts, from 1 to 99999.99. [F9]"""
-    clean = F.regexp_replace(numeric_text(x), r"[-–−]?\s*[0-9]{1,3}\s*%", " ")
     # a count is a number, then at most four characters in which a unit stands alone
     no_counts = r"(?!\s*(?i:шт|кг|г|л)(?![\p{L}0-9_]))"
-    found = F.regexp_extract_all(clean, F.lit(f"(?U){PRICE}{no_counts}"), F.lit(0))
-    value = lambda m: F.regexp_replace(F.regexp_extract(m, PRICE, 1), "[^0-9]", "").try_cast("double") + F.coalesce(F.rpad(F.regexp_extract(m, PRICE, 2), 2, "0").try_cast("double"), F.lit(0.0)) / 100.0
-    out = F.array_sort(F.filter(F.transform(found, value), lambda v: v.between(1.0, 99999.99)))
-    return F.when(looks_like_date_or_code(x), F.array().cast("array<double>")).otherwise(out)
+
+    def found(t: Column) -> Column:
+        clean = F.regexp_replace(t, r"[-–−]?\s*[0-9]{1,3}\s*%", " ")
+        parts = F.regexp_extract_all(clean, F.lit(f"(?U){PRICE}{no_counts}"), F.lit(0))
+        value = lambda m: F.regexp_replace(F.regexp_extract(m, PRICE, 1), "[^0-9]", "").try_cast("double") + F.coalesce(F.rpad(F.regexp_extract(m, PRICE, 2), 2, "0").try_cast("double"), F.lit(0.0)) / 100.0
+        out = F.array_sort(F.filter(F.transform(parts, value), lambda v: v.between(1.0, 99999.99)))
+        return F.when(t.rlike(f"(?U){DATE}") | t.rlike(CODE), F.array().cast("array<double>")).otherwise(out)
+
+    return let(numeric_text(x), found)
 
 
 def discount(texts) -> Column:
     """The first percent from 1 to 99 as -N%; else roubles of a line with a minus or 'скид' as -Nр; else the absent mark. [F11]"""
-    t = F.transform(col(texts), numeric_text)
-    percent = F.filter(F.transform(t, lambda x: F.regexp_extract(x, r"[-–−]?\s*([0-9]{1,2})\s*%", 1).try_cast("int")), lambda p: p.between(1, 99))
-    lines = F.filter(t, lambda x: x.contains("-") | x.contains("−") | F.lower(x).contains("скид"))
-    roubles = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)(?:[-–−]\s*)?([0-9]{1,5})\s*(?:р|руб\.?|₽)", 1).try_cast("int")), lambda p: p.between(1, 99999))
-    mark = lambda n, unit: F.concat(F.lit("-"), n.cast("string"), F.lit(unit))
-    return F.coalesce(mark(F.get(percent, 0), "%"), mark(F.get(roubles, 0), "р"), F.lit(ABSENT))
+
+    def find(t: Column) -> Column:
+        percent = F.filter(F.transform(t, lambda x: F.regexp_extract(x, r"[-–−]?\s*([0-9]{1,2})\s*%", 1).try_cast("int")), lambda p: p.between(1, 99))
+        lines = F.filter(t, lambda x: x.contains("-") | x.contains("−") | F.lower(x).contains("скид"))
+        roubles = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, r"(?i)(?:[-–−]\s*)?([0-9]{1,5})\s*(?:р|руб\.?|₽)", 1).try_cast("int")), lambda p: p.between(1, 99999))
+        mark = lambda n, unit: F.concat(F.lit("-"), n.cast("string"), F.lit(unit))
+        return F.coalesce(mark(F.get(percent, 0), "%"), mark(F.get(roubles, 0), "р"), F.lit(ABSENT))
+
+    return let(F.transform(col(texts), numeric_text), find)
 
 
 def unglue(default, card) -> Column:
@@ -202,27 +209,33 @@ def choose_prices(candidates, all_prices) -> Column:
     Values under 10 don't count. Words decide first; else one candidate that outdoes the next by 1.35; else the
     least and the greatest value.
     """
-    c = F.filter(col(candidates), lambda x: x["value"] >= 10.0)
-    by_score = F.reverse(F.array_sort(F.transform(c, lambda x, i: F.struct(x["score"].alias("score"), (-i).alias("i"), x["value"].alias("value"), x["card"].alias("card"), x["dflt"].alias("dflt")))))
-    values = F.array_sort(F.array_distinct(F.transform(c, lambda x: F.round(x["value"], 2))))
-    cards, dflts = F.filter(by_score, lambda x: x["card"]), F.filter(by_score, lambda x: x["dflt"])
-    top, second = F.get(by_score, 0), F.get(by_score, 1)
+
+    def facts(c: Column) -> Column:
+        by_score = F.reverse(F.array_sort(F.transform(c, lambda x, i: F.struct(x["score"].alias("score"), (-i).alias("i"), x["value"].alias("value"), x["card"].alias("card"), x["dflt"].alias("dflt")))))
+        bare = F.array_sort(F.array_distinct(F.transform(F.filter(col(all_prices), lambda p: p >= 10.0), lambda p: F.round(p, 2))))
+        return F.struct(by_score.alias("by_score"), F.array_sort(F.array_distinct(F.transform(c, lambda x: F.round(x["value"], 2)))).alias("values"), bare.alias("bare"))
+
+    def signals(f: Column) -> Column:
+        return F.struct(f.alias("f"), F.get(F.filter(f["by_score"], lambda x: x["card"]), 0)["value"].alias("card"), F.get(F.filter(f["by_score"], lambda x: x["dflt"]), 0)["value"].alias("dflt"))
+
+    return let(let(let(F.filter(col(candidates), lambda x: x["value"] >= 10.0), facts), signals), _decide)
+
+
+def _decide(s: Column) -> Column:
+    by_score, values, bare, card, dflt = s["f"]["by_score"], s["f"]["values"], s["f"]["bare"], s["card"], s["dflt"]
+    top, second, low, none = F.get(by_score, 0), F.get(by_score, 1), F.array_min(values), F.lit("")
     above = lambda v: F.array_max(F.filter(values, lambda x: x > v + 0.009))
-    pair = lambda card, default: F.struct(card.alias("price_card"), default.alias("price_default"))
-    none = F.lit("")
+    pair = lambda a, b: F.struct(a.alias("price_card"), b.alias("price_default"))
     several = F.size(values) >= 2
-    card = F.get(cards, 0)["value"]
-    by_card = F.when(F.size(dflts) > 0, F.get(dflts, 0)["value"]).otherwise(F.coalesce(above(card), F.when(F.size(values) > 1, F.array_max(values)).otherwise(card)))
-    dflt = F.get(dflts, 0)["value"]
-    under = F.coalesce(F.array_min(F.filter(values, lambda x: x < dflt - 0.009)), F.array_min(values))
+    by_card = F.coalesce(dflt, above(card), F.when(several, F.array_max(values)).otherwise(card))
+    under = F.coalesce(F.array_min(F.filter(values, lambda x: x < dflt - 0.009)), low)
     outdone = (F.size(by_score) > 1) & (top["score"] > second["score"] * 1.35)
-    low = F.array_min(values)
-    bare = F.array_sort(F.array_distinct(F.transform(F.filter(col(all_prices), lambda p: p >= 10.0), lambda p: F.round(p, 2))))
+    unglued = lambda v, c: let(v, lambda d: comma_format(unglue(d, c)))
     return (
-        F.when(F.size(cards) > 0, pair(comma_format(card), F.when(F.abs(by_card - card) > 0.009, comma_format(by_card)).otherwise(none)))
-        .when((F.size(dflts) > 0) & several, pair(comma_format(under), comma_format(dflt)))
-        .when(several & outdone, pair(comma_format(top["value"]), F.coalesce(comma_format(unglue(above(top["value"]), top["value"])), none)))
-        .when(several, pair(comma_format(low), comma_format(unglue(F.coalesce(above(low), F.array_max(values)), low))))
+        F.when(card.isNotNull(), pair(comma_format(card), let(by_card, lambda d: F.when(F.abs(d - card) > 0.009, comma_format(d)).otherwise(none))))
+        .when(dflt.isNotNull() & several, pair(comma_format(under), comma_format(dflt)))
+        .when(several & outdone, pair(comma_format(top["value"]), F.coalesce(unglued(above(top["value"]), top["value"]), none)))
+        .when(several, pair(comma_format(low), unglued(F.coalesce(above(low), F.array_max(values)), low)))
         .when(F.size(by_score) > 0, pair(comma_format(top["value"]), none))
         .when(F.size(bare) >= 2, pair(comma_format(F.array_min(bare)), comma_format(F.array_max(bare))))
         .when(F.size(bare) == 1, pair(comma_format(F.get(bare, 0)), none))
