@@ -636,7 +636,7 @@ p AS (SELECT g.video, g.row_id AS gt_id, p.row_id AS pred_id, g.bc <> '' AND g.b
   FROM e g JOIN e p ON g.video = p.video AND g.cand % 2 = 1 AND p.cand % 3 <> 2),
 c AS (SELECT video, gt_id, pred_id, CASE WHEN b THEN 'barcode' WHEN q THEN 'qr_code_barcode' ELSE 'timestamp_bbox' END AS matched_by, CASE WHEN b THEN 100.0 + i / (s - i) WHEN q THEN 80.0 + i / (s - i) ELSE i / (s - i) * 3.0 END + bonus AS score FROM p),
 r AS (SELECT *, row_number() OVER (PARTITION BY video, gt_id ORDER BY round(score, 9) DESC, pred_id) AS k FROM c WHERE matched_by <> 'timestamp_bbox' OR score > 0.3)
-SELECT video, gt_id, pred_id, matched_by, round(score, 6) AS score FROM r WHERE k = 1"""
+SELECT video, gt_id, pred_id, matched_by, round(round(score, 9), 6) AS score FROM r WHERE k = 1"""
 )
 def j9_best_candidates(spark, sf):
     pred, truth = _pred_truth(spark, sf)
