@@ -24,9 +24,9 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies."""
+    """One document, that with the smallest doc_id, of each group of near copies: those that links of similarity >= 0.8 of five-word shingles connect."""
     ship(spark)
-    return simhash.keep_one(docs, most=2, shingle=3)
+    return simhash.keep_one_similar(docs, shingle=5)
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

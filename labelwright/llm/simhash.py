@@ -15,12 +15,13 @@ centre, and at most 45 share one, so the work stays in proportion to the group.
 from __future__ import annotations
 
 import random
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from . import near_copies
 from .common import forget_caches, cut, slices, whole_text, without, work_folder
 from .components import components
 
@@ -135,7 +136,21 @@ def near_duplicates(docs: DataFrame, most: int = 2, shingle: int = 3, doc_id: st
     folder = work_folder(docs.sparkSession)
     made = cut(fingerprints(docs, shingle, doc_id, text), folder, "fingerprints")
     distinct = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "distinct")
-    roots = components(links(distinct.select("fp"), folder, most), folder)
+    return least_ids(made, distinct, links(distinct.select("fp"), folder, most), folder)
+
+
+def similar(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As near_duplicates, but over links of sets of shingles with a Jaccard similarity of at least 0.8; fp is the set's number."""
+    folder = work_folder(docs.sparkSession)
+    seen = cut(near_copies.numbered(docs, shingle, doc_id, text), folder, "numbered")
+    made = seen.where("c is null").drop("c")
+    distinct = cut(made.groupBy("fp").agg(F.min("doc_id").alias("least")), folder, "distinct")
+    return least_ids(made, distinct, near_copies.links(docs, seen, folder, shingle, text), folder)
+
+
+def least_ids(made: DataFrame, distinct: DataFrame, edges: DataFrame, folder: str) -> DataFrame:
+    """doc_id, fp, component_id: the smallest doc_id of the fingerprints connected by edges."""
+    roots = components(edges, folder)
     rooted = cut(distinct.join(roots, distinct["fp"] == roots["node"], "left").select("fp", "least", "root"), folder, "rooted")
     least = rooted.where("root is not null").groupBy("root").agg(F.min("least").alias("component_id"))
     of = rooted.join(least, "root", "left").select("fp", F.when(F.col("root").isNull(), F.col("least")).otherwise(F.col("component_id")).alias("component_id"))
@@ -147,8 +162,16 @@ def keep_one(docs: DataFrame, most: int = 2, shingle: int = 3, doc_id: str = "do
 
     A row without an id stays if no row of its component has one.
     """
+    return _keep(docs, near_duplicates(docs, most, shingle, doc_id, text), lambda texts: fingerprint_batch(texts, shingle), doc_id, text)
+
+
+def keep_one_similar(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """As keep_one, with the components of similar."""
+    return _keep(docs, similar(docs, shingle, doc_id, text), lambda texts: near_copies.set_ids(near_copies.shingle_sets(texts, shingle)), doc_id, text)
+
+
+def _keep(docs: DataFrame, found: DataFrame, numbers: Callable, doc_id: str, text: str) -> DataFrame:
     folder = work_folder(docs.sparkSession)
-    found = near_duplicates(docs, most, shingle, doc_id, text)
     same = F.col("doc_id") == F.col("component_id")
     ids = cut(found.where("doc_id is not null").groupBy("doc_id").agg(F.count_if(same).alias("n")).where("n <> 1"), folder, "ids")
     own = docs[doc_id].cast("long")
@@ -160,12 +183,12 @@ def keep_one(docs: DataFrame, most: int = 2, shingle: int = 3, doc_id: str = "do
     nameless = docs.where(own.isNull())
     if not nameless.isEmpty():
         alone = cut(found.where("component_id is null").select(F.col("fp").alias("_alone")).distinct(), folder, "alone")
-        marked = _with_fingerprint(nameless, shingle, text)
+        marked = _with_fingerprint(nameless, numbers, text)
         out = out.unionByName(marked.join(alone, marked["_fp"] == alone["_alone"], "left_semi").drop("_fp"))
     return out
 
 
-def _with_fingerprint(docs: DataFrame, shingle: int, text: str) -> DataFrame:
+def _with_fingerprint(docs: DataFrame, numbers: Callable, text: str) -> DataFrame:
     """docs and a last column _fp."""
     at = docs.columns.index(text)
 
@@ -175,7 +198,7 @@ def _with_fingerprint(docs: DataFrame, shingle: int, text: str) -> DataFrame:
         forget_caches()
         for batch in batches:
             texts = [(t or "").encode() for t in batch.column(at).to_pylist()]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fingerprint_batch(texts, shingle), pa.int64())], names=[*batch.schema.names, "_fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(numbers(texts), pa.int64())], names=[*batch.schema.names, "_fp"])
 
     return docs.mapInArrow(run, T.StructType([*docs.schema.fields, T.StructField("_fp", T.LongType())]))
 
