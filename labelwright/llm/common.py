@@ -3,29 +3,12 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
-from functools import lru_cache
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
-@lru_cache(maxsize=1)
-def _own_folder() -> str:
-    return tempfile.mkdtemp(prefix="labelwright-")
-
-
-def work_folder(spark: SparkSession) -> str:
-    """A new folder below spark.checkpoint.dir, which all executors share (own one only if that is unset)."""
-    base = spark.conf.get("spark.checkpoint.dir", None) or f"file://{_own_folder()}"
-    return f"{base.rstrip('/')}/labelwright/{uuid.uuid4().hex}"
-
-
-def cut(df: DataFrame, folder: str, name: str) -> DataFrame:
-    """Write df below folder and read it back: later steps survive lost executors and don't recompute it."""
-    path = f"{folder}/{name}"
-    df.write.mode("error").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+from ..sources.work import cut, work_folder  # noqa: F401 - cut points of this subpackage, too
 
 
 _shipped: set = set()
@@ -60,14 +43,40 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 SMALL_ROWS = 400_000
 
 
-def without(df: DataFrame, keys: DataFrame, key: str, found: str) -> DataFrame:
-    """df without the rows whose whole-number `key` (null is a key like any other) is in `keys`, one column `found` of longs.
+def small(df: DataFrame) -> DataFrame:
+    """df, marked for broadcast if it has at most SMALL_ROWS rows, counted first (rows must be slim); else as it is."""
+    return F.broadcast(df) if df.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS else df
+
+
+def fresh(columns: list[str], *names: str) -> list[str]:
+    """The names, with marks added where a column (in any case) has that name."""
+    taken = {c.lower() for c in columns}
+    out = []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
+def placed(docs: DataFrame, folder: str, file: str = "file", row: str = "row") -> DataFrame:
+    """docs and two more columns that tell a row: a hash of its file's path, and its place there. Rows that are in no files are written once."""
+    at = lambda d: d.select(*(d[f"`{c}`"] for c in d.columns), F.xxhash64(d["_metadata.file_path"]).alias(file), d["_metadata.row_index"].alias(row))
+    try:
+        return at(docs)
+    except AnalysisException:
+        return at(cut(docs, folder, "placed"))
+
+
+def without(docs: DataFrame, gone: DataFrame, file: str, row: str) -> DataFrame:
+    """docs (placed by columns `file` and `row`) without the rows whose place is in `gone` (file, row), and without those two columns.
 
-    The keys are broadcast if they are at most SMALL_ROWS, counted first; else both sides are shuffled.
+    The places are broadcast if they are few, counted first; else both sides are shuffled by place.
     """
-    if keys.limit(SMALL_ROWS + 1).count() <= SMALL_ROWS:
-        keys = F.broadcast(keys)
-    return df.join(keys, df[key].cast("long").eqNullSafe(keys[found]), "left_anti")
+    gone = gone.select(F.col("file").alias("_f"), F.col("row").alias("_r"))
+    left = docs.join(small(gone), (docs[file] == F.col("_f")) & (docs[row] == F.col("_r")), "left_anti")
+    return left.drop(file, row)
 
 
 #: Caches of this worker process, by module; a worker serves one kind of task after another.

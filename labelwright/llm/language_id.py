@@ -1,8 +1,9 @@
 """Language ID by the nearest of several clustered centroids per language.
 
 A text is a TF-IDF vector of letter trigrams: bytes are folded to 32 classes (blank for ASCII that is no
-letter, a-z, and five classes of bytes beyond ASCII), so there are 32768 trigrams and each is a dimension.
-Term frequency is 1 + ln(count), vectors have length 1, nearness is the cosine. Centroids come from
+letter, a-z, and five classes of bytes beyond ASCII), so there are 32768 trigrams and each is a dimension. Texts
+with characters beyond the Latin ones have trigrams of whole characters besides, hashed to 32768 more dimensions,
+which tell languages of one script apart. Term frequency is 1 + ln(count), vectors have length 1, nearness is the cosine. Centroids come from
 spherical k-means over a bounded sample of labelled rows; everything else reads whole texts of all rows.
 """
 
@@ -18,7 +19,8 @@ from pyspark.sql import Window
 
 from .common import forget_caches, slices, whole_text
 
-DIMENSIONS = 1 << 15
+BYTE_DIMENSIONS = 1 << 15
+DIMENSIONS = 2 * BYTE_DIMENSIONS
 UNKNOWN = "und"
 #: a-z and A-Z: 1 to 26. C3 leads the accented Latin letters: 27. Bytes that follow a lead: 28 to 30. Other leads (other scripts): 31.
 _CLASS = bytes(b - 64 if 65 <= b <= 90 else b - 96 if 97 <= b <= 122 else 0 if b < 128 else 28 + b % 3 if b < 0xC0 else 27 if b == 0xC3 else 31 for b in range(256))
@@ -37,6 +39,12 @@ def trigrams(text: bytes):
     if len(c) < 3:
         return np.zeros(0, np.int64), np.zeros(0)
     codes = (c[:-2] << 10) | (c[1:-1] << 5) | c[2:]
+    if (c == 31).any():
+        u = np.frombuffer(text.decode("utf-8", "replace").encode("utf-32-le"), "<u4").astype(np.uint64)
+        u = np.pad(np.where(u >= 0x250, u, np.uint64(0)), 1)
+        own = u[:-2] + u[1:-1] + u[2:] > 0
+        mixed = ((u[:-2] * np.uint64(0x9E3779B1) + u[1:-1]) * np.uint64(0x85EBCA6B) + u[2:]) * np.uint64(0x9E3779B97F4A7C15)
+        codes = np.concatenate([codes, (mixed[own] >> np.uint64(49)).astype(np.int32) + BYTE_DIMENSIONS])
     if len(codes) < 600:
         at, n = np.unique(codes, return_counts=True)
     else:
@@ -62,21 +70,21 @@ class Model:
     languages: list[str]
     least: float
 
-    def predict(self, text: str) -> tuple[str, float]:
-        """The nearest centroid's language and cosine; und and 0 for a text without letters; und if the cosine is under `least` of its reach."""
+    def predict(self, text: str) -> tuple[str, float, bool]:
+        """The nearest centroid's language, its cosine, and whether it is rejected: a cosine under `least` of its reach.
+
+        A text without letters gives und, 0 and rejected; so does every text if nothing was learned.
+        """
         import numpy as np
 
         if not self.languages or not has_letter(text):
-            return UNKNOWN, 0.0
+            return UNKNOWN, 0.0, True
         at, tf = trigrams(text.encode())
         v = tf * self.idf[at]
-        norm = float(np.sqrt(v @ v))
-        if not norm:
-            return UNKNOWN, 0.0
-        near = (v @ self.centroids[at]) / norm
+        near = (v @ self.centroids[at]) / max(float(np.sqrt(v @ v)), 1e-300)
         best = int(np.argmax(near))
         score = float(min(1.0, max(0.0, near[best])))
-        return (self.languages[best] if score >= self.least * reach(len(at)) else UNKNOWN), score
+        return self.languages[best], score, score < self.least * reach(len(at))
 
 
 def _cluster(x, k: int, rounds: int = 12):
@@ -132,15 +140,20 @@ def held_out(doc_id: str = "doc_id"):
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % 5 == 0
 
 
-def train(docs: DataFrame, sample: int = 400, clusters: int = 4, reject: float = 0.25, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
-    """A model from at most `sample` rows of each language that are not held out (those least by a hash of doc_id)."""
-    h = F.xxhash64(F.col(doc_id).cast("string"))
+def train(docs: DataFrame, sample: int = 400, clusters: int = 4, reject: float = 0.25, most_languages: int = 500, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> Model:
+    """A model from at most `sample` rows of each of the `most_languages` languages with most rows, of rows that are not held out.
+
+    The sample has the rows that are least by a hash of id and text. Both bounds hold the model's size; neither
+    touches a prediction, which every row gets. Rows without text or language teach nothing; no rows, no languages.
+    """
+    h = F.xxhash64(F.col(doc_id).cast("string"), F.col(text).cast("string"))
     labelled = ~held_out(doc_id) & F.col(lang).isNotNull() & F.col(text).isNotNull()
-    counts = docs.where(labelled).groupBy(F.col(lang).cast("string").alias("lang")).count().collect()
+    rows_of = docs.where(labelled).groupBy(F.col(lang).cast("string").alias("lang")).agg(F.count("*").alias("n"), F.min(h).alias("least"))
+    counts = rows_of.orderBy(F.desc("n"), "lang").limit(most_languages).collect()
     if not counts:
         return fit([])
-    # hashes are uniform: about four times the sample of each language lies under its bound, whatever its size
-    under = [(r["lang"], min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * sample // r["count"])) for r in counts]
+    # hashes are uniform: about four times the sample of each language lies under its bound, and its least one does, whatever its size
+    under = [(r.lang, max(r.least, min((1 << 63) - 1, -(1 << 63) + (1 << 64) * 4 * sample // r.n))) for r in counts]
     most = F.create_map(*(x for la, bound in under for x in (F.lit(la), F.lit(bound).cast("long"))))
 
     def features(batches: Iterator) -> Iterator:
@@ -164,10 +177,11 @@ def train(docs: DataFrame, sample: int = 400, clusters: int = 4, reject: float =
 
 
 def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, lang_pred, score for every row of docs, by whole texts.
+    """doc_id, lang_pred, score, rejected for every row of docs, by whole texts, however long.
 
-    Null texts and texts without letters give und and 0; so does everything if nothing was learned. Null
-    doc_ids and repeated rows stay; other columns are not read.
+    Null texts and texts without letters give und, 0 and true; so does everything if nothing was learned. All
+    others give a learned language; rejected tells those too far from it. Null doc_ids and repeated rows stay;
+    other columns are not read; equal cosines go to the first language by name. Empty in, empty out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
@@ -179,13 +193,14 @@ def predict(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "
         for whole in batches:
             for batch in slices(whole, 1, 4 << 20):
                 found = [own.predict(t) for t in batch.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([x for x, _ in found], pa.string()), pa.array([x for _, x in found], pa.float64())], ["doc_id", "lang_pred", "score"])
+                lang, score, rejected = zip(*found, strict=True)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(rejected, pa.bool_())], ["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double")
+    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t")).mapInArrow(run, "doc_id long, lang_pred string, score double, rejected boolean")
 
 
 def keep_known(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """docs without the rows whose language is rejected, all columns kept; each row is judged by its own text."""
+    """docs without the rows whose language is rejected (null texts and those without letters go, too), all columns kept; each row is judged by its own text."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
     schema = docs.schema
     at = docs.columns.index(text)
@@ -195,8 +210,9 @@ def keep_known(docs: DataFrame, model: Model, doc_id: str = "doc_id", text: str
 
         forget_caches()
         own = shared.value
-        for batch in batches:
-            keep = [t is not None and own.predict(t)[0] != UNKNOWN for t in batch.column(at).to_pylist()]
-            yield batch.filter(pa.array(keep, pa.bool_()))
+        for whole in batches:
+            for batch in slices(whole, at, 4 << 20):
+                keep = [t is not None and not own.predict(t)[2] for t in batch.column(at).to_pylist()]
+                yield batch.filter(pa.array(keep, pa.bool_()))
 
     return docs.mapInArrow(run, schema)

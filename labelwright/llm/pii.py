@@ -25,7 +25,6 @@ LABELS = ("O", *(f"{p}-{k}" for k in KINDS for p in "BI"))
 
 _ANY = re.compile("[0-9@]")
 _LOCAL = re.compile("[A-Za-z0-9._%+-]+")
-_NOT_LOCAL = re.compile("[^A-Za-z0-9._%+-]")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 _CARD = re.compile("[0-9](?:[ -]?[0-9])++")
@@ -77,7 +76,7 @@ def base_spans(text: str) -> list[tuple[int, str, int]]:
 def _shape(token: str) -> tuple[str, str]:
     """A token's shape with the lengths of its digit runs, and without lengths; validity marks after either."""
     full, short, digits, run, last = [], [], [], 0, ""
-    for c in token[:64]:
+    for c in token:
         kind = "9" if "0" <= c <= "9" else "X" if c.isupper() else "x" if c.isalpha() else c
         if kind == "9":
             run += 1
@@ -111,11 +110,12 @@ def _core(text: str, start: int, end: int) -> tuple[int, int]:
     return start, end
 
 
-def features(tokens: list[str], i: int) -> tuple[str, ...]:
-    """The features of token i: its shapes, those of its neighbours, its length."""
-    full, short = _shape(tokens[i])
-    before = _shape(tokens[i - 1])[1] if i else "^"
-    after = _shape(tokens[i + 1])[1] if i + 1 < len(tokens) else "$"
+def features(tokens: list[str], i: int, shapes: list[tuple[str, str]] | None = None) -> tuple[str, ...]:
+    """The features of token i: its shapes, those of its neighbours, its length. All of them are of whole tokens."""
+    shapes = shapes or {k: _shape(tokens[k]) for k in range(max(0, i - 1), min(len(tokens), i + 2))}
+    full, short = shapes[i]
+    before = shapes[i - 1][1] if i else "^"
+    after = shapes[i + 1][1] if i + 1 < len(tokens) else "$"
     return (f"f:{full}", f"s:{short}", f"p:{before}", f"n:{after}", f"ps:{before}|{short}", f"sn:{short}|{after}", f"l:{min(len(tokens[i]) // 4, 8)}", f"a:{'@' in tokens[i]}")
 
 
@@ -314,9 +314,10 @@ def find_batch(texts: list[str], field: Field) -> list[tuple[list, list]]:
             while j + 1 < len(free) and free[j + 1] == free[j] + 1:
                 j += 1
             lo, hi = free[k], free[j] + 1
-            near = [text[s:e][:80] for s, e in spans[max(0, lo - 1) : hi + 1]]
+            near = [text[s:e] for s, e in spans[max(0, lo - 1) : hi + 1]]
+            shapes = [_shape(t) for t in near]
             shift = lo - max(0, lo - 1)
-            runs.append([field.rows(features(near, shift + t)) for t in range(hi - lo)])
+            runs.append([field.rows(features(near, shift + t, shapes)) for t in range(hi - lo)])
             places.append((number, spans[lo:hi]))
             k = j + 1
     added: list = [[] for _ in texts]
@@ -358,7 +359,9 @@ def _spell(spans: list) -> str:
 def find_personal_data(docs: DataFrame, field: Field, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, base and spans (kind:start:end by start, then kind, comma-joined) of every row, over whole texts.
 
-    A null text is empty; null doc_ids and repeated rows stay; other columns are not read.
+    A null text is empty; null doc_ids and repeated rows stay; other columns are not read. Texts and tokens of
+    any length are read whole, in time linear in them. Of spans with one start the kind listed first stands
+    first. Empty in, empty out.
     """
     shared = docs.sparkSession.sparkContext.broadcast(field)
 

@@ -78,7 +78,7 @@ def op8_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     docs = table(spark, sf_dir, "documents")
     out = predict(docs, train(docs))
-    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score")
+    return out.select("doc_id", held_out().alias("held_out"), "lang_pred", "score", "rejected")
 
 
 def op9_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:

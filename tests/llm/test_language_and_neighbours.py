@@ -15,11 +15,32 @@ def test_held_out_accuracy_and_rejection(spark, sf):
     out = L.predict(docs, model).join(docs.select("doc_id", "lang"), "doc_id").collect()
     held = [r for r in out if zlib.crc32(str(r.doc_id).encode()) % 5 == 0]
     assert len(held) > 20 and sum(r.lang == r.lang_pred for r in held) / len(held) > 0.97
-    assert model.predict("") == model.predict("12 34 !!") == ("und", 0.0)
-    assert model.predict("漢字かな交じり文")[0] == "und"
+    assert model.predict("") == model.predict("12 34 !!") == ("und", 0.0, True)
+    # und is for texts without letters only: others get the nearest language, and the rejection besides
+    for text in ("OK", "xqzj", "漢字かな交じり文", "Привет, как дела сегодня"):
+        lang, _, rejected = model.predict(text)
+        assert lang in model.languages
+    assert model.predict("漢字かな交じり文")[2]
     assert all(0 <= r.score <= 1 for r in out)
 
 
+def test_languages_of_one_script_are_told_apart():
+    import random
+
+    draw = random.Random(8)
+    words = {"ru": ["привет", "сегодня", "что", "это", "была", "ночь", "мы", "ещё", "объект"], "uk": ["привіт", "сьогодні", "що", "це", "була", "ніч", "ми", "ще", "її"], "bg": ["здравей", "днес", "какво", "това", "беше", "нощ", "ние", "още", "път"], "ja": ["今日", "は", "とても", "寒い", "です"], "zh": ["今天", "非常", "冷", "我们", "还"]}
+    make = lambda la: " ".join(draw.choice(words[la]) for _ in range(draw.randint(3, 30)))
+    model = L.fit([(la, *L.trigrams(make(la).encode())) for la in words for _ in range(60)])
+    tried = [(la, make(la)) for la in words for _ in range(40)]
+    assert sum(model.predict(t)[0] == la for la, t in tried) / len(tried) > 0.97
+
+
+def test_one_repeated_row_still_teaches_its_language(spark):
+    docs = spark.createDataFrame([(1, "the same words again", "en")] * 3000 + [(3, "altro testo qui scritto", "it")] * 2000, "doc_id long, text string, lang string")
+    docs = docs.where(~L.held_out())
+    assert set(L.train(docs, sample=2).languages) == {r.lang for r in docs.select("lang").distinct().collect()}
+
+
 def test_held_out_rows_and_labels_are_not_inputs(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     from pyspark.sql import functions as F

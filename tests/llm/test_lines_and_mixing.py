@@ -1,8 +1,9 @@
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
-from labelwright.llm import line_dedup
+from labelwright.llm import line_dedup, mixing
 from labelwright.llm.line_dedup import drop_boilerplate
 from labelwright.llm.mixing import equal_cycle, in_mix_order, mix, schedule
 
@@ -64,8 +65,45 @@ def test_every_row_gets_one_place(spark):
 def test_bad_weights_raise(spark):
     docs = documents(spark)
     w = lambda rows: spark.createDataFrame(rows, "source string, share long")
-    for rows in ([("a", 0)], [("a", 1), ("a", 2)], [("a", 5000)]):
+    for rows in ([("a", 0)], [("a", 1), ("a", 2)]):
         with pytest.raises(ValueError):
             mix(docs, w(rows))
     with pytest.raises(Exception, match="no weight"):
         mix(docs, w([("a", 1)])).collect()
+
+
+@pytest.mark.parametrize(("shares", "segment"), [([7, 5, 3, 1, 1] * 3, 8), ([1] * 40 + [23, 5], 16), ([1 + i % 5 for i in range(5000)], None)])
+def test_segments_of_a_long_period_keep_the_deviation(spark, shares, segment):
+    w = spark.createDataFrame([(f"s{i:05}", s) for i, s in enumerate(shares)], "source string, share long")
+    rows = schedule(w, segment).orderBy("slot").collect()
+    q, number = sum(shares), {f"s{i:05}": i for i in range(len(shares))}
+    assert [r.slot for r in rows] == list(range(q))
+    if q < 4096:
+        assert [tuple(r) for r in rows] == [tuple(r) for r in schedule(w, 4096).orderBy("slot").collect()]
+    done = Counter()
+    for t, r in enumerate(rows):
+        s = shares[number[r.source]]
+        k = done[r.source]
+        # block k runs from its release on and before it is due: less than one block off at any time
+        assert r.turn == k and k * q // s <= t < -(-(k + 1) * q // s)
+        done[r.source] += 1
+    assert [done[f"s{i:05}"] for i in range(len(shares))] == shares
+
+
+def test_more_sources_than_a_segment_has_slots(spark):
+    docs = spark.range(6000).select("id", (F.col("id") % 3000).cast("string").alias("source")).withColumnRenamed("id", "doc_id")
+    rows = mix(docs, equal_cycle(docs), block=1).collect()
+    assert len({r.mix_order for r in rows}) == 6000
+
+
+def test_one_id_for_all_rows_is_dealt_over_buckets(spark, monkeypatch):
+    docs = spark.range(4000).select(F.when(F.col("id") % 4 == 0, F.col("id")).alias("doc_id"), F.lit("a").alias("source"), F.col("id").alias("n"))
+    want = {r.n: r.mix_order for r in mix(docs, equal_cycle(docs)).collect()}
+    monkeypatch.setattr(mixing, "LARGE_BUCKET", 40)
+    assert {r.n: r.mix_order for r in mix(docs, equal_cycle(docs)).collect()} == want and sorted(want.values()) == list(range(4000))
+
+
+def test_columns_with_the_names_of_the_mix_come_back(spark):
+    docs = documents(spark).withColumnRenamed("row", "mix_slot").withColumnRenamed("n_tokens", "own_mix_slot")
+    laid = in_mix_order(docs, equal_cycle(docs), block=2)
+    assert laid.columns == docs.columns and sorted(map(str, laid.collect())) == sorted(map(str, docs.collect()))
