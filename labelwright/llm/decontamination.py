@@ -1,6 +1,7 @@
 """Benchmark decontamination over a distributed positional inverted index.
 
-The index is partitioned by document: a shard holds the postings of some megabytes of whole texts, so a
+The index holds the postings of all words of the training documents, so one index, written once, serves any
+benchmark. It is partitioned by document: a shard holds the postings of some megabytes of whole texts, so a
 posting list never leaves its documents and no list is gathered for a common word. Words of a shard are
 numbered through, with a gap after each document that no phrase or slop can cross.
 
@@ -8,10 +9,11 @@ Index table (one row for each shard and term, and one directory row, whose term
 
     shard long, term string, n_pos long, body binary
         body of a term: its positions, ascending, as little-endian unsigned 32-bit differences
-        body of the directory: doc_ids, first positions, word counts, null flags, as little-endian int64
+        body of the directory: file, row, doc_ids, first positions, word counts, null flags, as little-endian int64
 
-A search takes the windows of all items, orders the terms of each from the globally rarest one, and
-intersects offset-adjusted lists in that order: exactly for phrases, within `slop` words for proximity.
+A search takes the windows of all items, reads the postings of their terms only, orders the terms of each from
+the globally rarest one, and intersects offset-adjusted lists in that order: exactly for phrases, within `slop`
+words for proximity. Documents are known by file and row, so repeated or missing ids never stand for each other.
 """
 
 from __future__ import annotations
@@ -21,12 +23,16 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import forget_caches, cut, slices, whole_text, without, work_folder
+from .common import cut, forget_caches, fresh, placed, slices, whole_text, without, work_folder
 
 #: Byte to byte: A-Z to a-z, other characters up to 7F that are neither digits nor letters to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: Items beyond so many bytes of text are searched in blocks of that size; only one block is broadcast at a time.
 ITEM_BLOCK_BYTES = 32 << 20
+#: Text split into words at once; longer texts are taken piece by piece.
+PIECE_BYTES = 4 << 20
+#: Unused positions behind each document; twice the slop must be less.
+GAP = 16
 
 
 def words_of(text: bytes) -> list[bytes]:
@@ -42,54 +48,95 @@ def windows_of(words: list, length: int) -> list[tuple]:
     return [tuple(words[i : i + length]) for i in range(n)]
 
 
-def build_index(docs: DataFrame, terms: list[bytes] | None = None, gap: int = 16, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
-    """The index of whole texts. terms: only their postings are made (others can never be read), None for all words.
+def _pieces(folded: bytes, most: int = PIECE_BYTES) -> Iterator[bytes]:
+    """A folded text in pieces of about `most` bytes, cut at spaces."""
+    at = 0
+    while len(folded) - at > most:
+        to = folded.find(b" ", at + most)
+        if to < 0:
+            break
+        yield folded[at:to]
+        at = to
+    yield folded[at:]
 
-    A null text has no words; null doc_ids and repeated rows are documents of their own.
+
+def _postings(texts: list[bytes]):
+    """(terms, list ends in words, differences, first positions, word counts) of a shard's texts."""
+    from itertools import chain
+
+    import numpy as np
+
+    vocabulary: dict = {}
+    parts, n = [], []
+
+    def take(words: list) -> None:
+        for w in set(words).difference(vocabulary):
+            vocabulary[w] = len(vocabulary)
+        parts.append(np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words)))
+
+    held: list = []
+    for text in texts:
+        folded = text.translate(_FOLD)
+        if len(folded) <= PIECE_BYTES:
+            held.append(folded.split())
+            n.append(len(held[-1]))
+            continue
+        take(list(chain.from_iterable(held)))
+        held, count = [], 0
+        for piece in _pieces(folded):
+            words = piece.split()
+            count += len(words)
+            take(words)
+        n.append(count)
+    take(list(chain.from_iterable(held)))
+    n = np.array(n, np.int64)
+    first = np.cumsum(n + GAP) - n - GAP
+    ids = np.concatenate(parts)
+    at = (np.arange(len(ids)) + np.repeat(np.arange(len(n)) * GAP, n)).astype(np.uint32)
+    order = np.argsort(ids.astype(np.uint16) if len(vocabulary) <= 1 << 16 else ids, kind="stable")
+    at = at[order]
+    ends = np.cumsum(np.bincount(ids, minlength=len(vocabulary))) if len(ids) else np.zeros(0, np.int64)
+    differences = np.diff(at, prepend=np.uint32(0)).astype("<u4")
+    starts = np.append(0, ends[:-1]) if len(ends) else ends
+    differences[starts] = at[starts]
+    return list(vocabulary), ends, differences, first, n
+
+
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
+    """The index of whole texts, all their words; docs have places (file, row).
+
+    A null text has no words; null doc_ids and repeated rows are documents of their own. A text of any length
+    is indexed whole, piece by piece, in a shard of its own if it is longer than one.
     """
-    spark = docs.sparkSession
-    wanted = None if terms is None else spark.sparkContext.broadcast({t: i for i, t in enumerate(sorted(set(terms)))})
 
     def run(batches: Iterator) -> Iterator:
-        from itertools import repeat
-
         import numpy as np
         import pyarrow as pa
         from pyspark import TaskContext
 
         forget_caches()
         part, count = TaskContext.get().partitionId(), 0
-        known = None if wanted is None else wanted.value
         for whole in batches:
             for batch in slices(whole, 1, shard_bytes):
-                split = [words_of(x) for x in batch.column(1).cast(pa.binary()).to_pylist()]
-                n = np.fromiter(map(len, split), np.int64, len(split))
-                first = np.cumsum(n + gap) - n - gap
-                vocabulary = known
-                if vocabulary is None:
-                    vocabulary = {t: i for i, t in enumerate(sorted(set().union(*split)))}
-                ids, at = [], []
-                for s, words in zip(first.tolist(), split, strict=True):
-                    found = np.fromiter(map(vocabulary.get, words, repeat(-1)), np.int32, len(words))
-                    hit = np.flatnonzero(found >= 0)
-                    ids.append(found[hit])
-                    at.append((hit + s).astype(np.uint32))
-                ids, at = np.concatenate(ids), np.concatenate(at)
-                order = np.argsort(ids.astype(np.uint16) if len(vocabulary) <= 1 << 16 else ids, kind="stable")
-                ids, at = ids[order], at[order]
-                names = list(vocabulary)
-                kinds, starts = np.unique(ids, return_index=True)
-                ends = np.append(starts[1:], len(ids))[: len(starts)]
+                terms, ends, differences, first, n = _postings(batch.column(1).cast(pa.binary()).to_pylist())
                 own = batch.column(0)
-                directory = np.concatenate([own.fill_null(0).to_numpy(zero_copy_only=False).astype("<i8"), first.astype("<i8"), n.astype("<i8"), own.is_null().to_numpy(zero_copy_only=False).astype("<i8")])
-                bodies = [directory.tobytes()] + [np.diff(at[a:b], prepend=np.uint32(0)).astype("<u4").tobytes() for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(bodies), part * (1 << 32) + count)), pa.array([None, *(names[k].decode("utf-8", "replace") for k in kinds.tolist())], pa.string()), pa.array(np.concatenate([[len(n)], ends - starts]).astype(np.int64)), pa.array(bodies, pa.binary())],
-                    ["shard", "term", "n_pos", "body"],
-                )
+                numbers = lambda c: c.to_numpy(zero_copy_only=False).astype("<i8")
+                directory = np.concatenate([numbers(batch.column(2)), numbers(batch.column(3)), numbers(own.fill_null(0)), first.astype("<i8"), n.astype("<i8"), numbers(own.is_null())])
+                shard = part * (1 << 32) + count
+                names = ["shard", "term", "n_pos", "body"]
+                yield pa.RecordBatch.from_arrays([pa.array([shard]), pa.array([None], pa.string()), pa.array([len(n)], pa.int64()), pa.array([directory.tobytes()], pa.binary())], names)
+                sizes, at = np.diff(ends, prepend=0), 0
+                while at < len(terms):
+                    # bodies of at most 1 GiB at once: offsets are 32-bit
+                    before = int(ends[at - 1]) if at else 0
+                    to = max(at + 1, int(np.searchsorted(ends, before + (1 << 28), side="right")))
+                    offsets = np.append(0, (ends[at:to] - before) * 4).astype("<i4")
+                    bodies = pa.BinaryArray.from_buffers(pa.binary(), to - at, [None, pa.py_buffer(offsets.tobytes()), pa.py_buffer(differences[before : int(ends[to - 1])].tobytes())])
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(to - at, shard)), pa.array(terms[at:to], pa.binary()).cast(pa.string()), pa.array(sizes[at:to].astype(np.int64)), bodies], names)
+                    at = to
                 count += 1
 
-    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"))
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"), "file", "row")
     return slim.mapInArrow(run, "shard long, term string, n_pos long, body binary")
 
 
@@ -104,7 +151,7 @@ def _near(list_, wanted, slop: int):
 
 
 def _search(lists: dict, plan: list, slop: int) -> tuple[list, list]:
-    """(start, length, window number) arrays of exact matches, and of near ones, in one shard.
+    """(start, length, window number, offset of the rarest term) of exact matches, and of near ones, in one shard.
 
     plan: for each window its length and its (term, offset), rarest term first.
     """
@@ -120,13 +167,13 @@ def _search(lists: dict, plan: list, slop: int) -> tuple[list, list]:
                 break
         if not len(starts):
             continue
-        near.append((starts, length, number))
+        near.append((starts, length, number, terms[0][1]))
         for list_, (_, offset) in zip(own[1:], terms[1:], strict=True):
             starts = starts[_near(list_, starts + offset, 0)]
             if not len(starts):
                 break
         if len(starts):
-            exact.append((starts, length, number))
+            exact.append((starts, length, number, terms[0][1]))
     return exact, near
 
 
@@ -140,7 +187,9 @@ def _by_document(matches: list, first, n, owners: list) -> tuple[list, list]:
     starts = np.concatenate([m[0] for m in matches])
     lengths = np.repeat([m[1] for m in matches], [len(m[0]) for m in matches])
     numbers = np.repeat([m[2] for m in matches], [len(m[0]) for m in matches])
-    doc = np.searchsorted(first, np.maximum(starts, 0), side="right") - 1
+    # the rarest term is in place, whatever the slop: it tells the document
+    placed_at = starts + np.repeat([m[3] for m in matches], [len(m[0]) for m in matches])
+    doc = np.searchsorted(first, placed_at, side="right") - 1
     lo, hi = np.maximum(starts, first[doc]), np.minimum(starts + lengths, first[doc] + n[doc])
     order = np.lexsort((hi, lo))
     lo, hi, by = lo[order], hi[order], doc[order]
@@ -157,15 +206,19 @@ def _by_document(matches: list, first, n, owners: list) -> tuple[list, list]:
 
 
 _SPANS = "array<struct<start:long,end:long>>"
-MATCHES = f"shard long, ordinal long, doc_id long, n_words long, spans {_SPANS}, items array<string>, near_spans {_SPANS}, near_items array<string>"
+MATCHES = f"file long, row long, doc_id long, n_words long, spans {_SPANS}, items array<string>, near_spans {_SPANS}, near_items array<string>"
 
 
 def search_index(index: DataFrame, windows: list[tuple[tuple[str, ...], list[str]]], frequency: dict[str, int], slop: int = 2) -> DataFrame:
     """Phrase and proximity matches of windows (terms, ids of the items that hold them), a row for each indexed document.
 
+    index: the rows of the windows' terms, and all directory rows.
+
     A near match has the window's globally rarest term (the first of equals) in place and every other term
     within slop words of its own place; each exact match is a near one too. Spans are merged word ranges.
     """
+    if 2 * slop >= GAP:
+        raise ValueError(f"twice the slop must be under {GAP}")
     spark = index.sparkSession
     plan = [(len(w), sorted(((t, i) for i, t in enumerate(w)), key=lambda x: (frequency.get(x[0], 0), x[1]))) for w, _ in windows]
     # a window of which some term occurs nowhere matches nowhere
@@ -181,16 +234,16 @@ def search_index(index: DataFrame, windows: list[tuple[tuple[str, ...], list[str
         lists, directory = {}, None
         for term, body in zip(group.column("term").to_pylist(), group.column("body").to_pylist(), strict=True):
             if term is None:
-                directory = np.frombuffer(body, "<i8").reshape(4, -1)
+                directory = np.frombuffer(body, "<i8").reshape(6, -1)
             else:
                 lists[term] = np.cumsum(np.frombuffer(body, "<u4"), dtype=np.int64)
-        ids, first, n, null = directory
+        file, row, ids, first, n, null = directory
         exact, near = _search(lists, plan, slop)
         (spans, items), (near_spans, near_items) = _by_document(exact, first, n, owners), _by_document(near, first, n, owners)
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
         return pa.table(
             {
-                "shard": pa.array(np.full(len(n), group.column("shard")[0].as_py())), "ordinal": pa.array(np.arange(len(n))), "doc_id": pa.array(ids, mask=null == 1), "n_words": pa.array(n),
+                "file": pa.array(file), "row": pa.array(row), "doc_id": pa.array(ids, mask=null == 1), "n_words": pa.array(n),
                 "spans": pa.array(spans, kind), "items": pa.array(items, pa.list_(pa.string())), "near_spans": pa.array(near_spans, kind), "near_items": pa.array(near_items, pa.list_(pa.string())),
             }
         )
@@ -219,33 +272,37 @@ def _blocks(rows: Iterator, most: int) -> Iterator[list]:
     yield block
 
 
-def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", block_bytes: int = ITEM_BLOCK_BYTES) -> DataFrame:
+def written_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
+    """The index of docs, written to a work folder: searches of any benchmark can share it."""
+    folder = work_folder(docs.sparkSession)
+    return cut(build_index(placed(docs.select(doc_id, text), folder), doc_id, text), folder, "index")
+
+
+def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", block_bytes: int = ITEM_BLOCK_BYTES, index: DataFrame | None = None) -> DataFrame:
     """Where windows of `window` item words occur in whole documents: columns as MATCHES, a row for each row of docs.
 
-    A null text has no words and no matches; an item without words has no windows; a shorter item is one
-    window. Repeated item rows are one item. An empty docs table gives no rows; empty items, no matches.
+    A null text has no words and no matches, and so has an empty one; texts may be of any length. An item without
+    words has no windows; a shorter item is one window. Repeated item rows are one item; items that share a
+    window all count. An empty docs table gives no rows; empty items, no matches. Other columns are not read.
+    index: written_index(docs), if there is one already. Items go in blocks of bounded size, one broadcast at a time.
     """
+    spark = docs.sparkSession
+    index = written_index(docs, doc_id, text) if index is None else index
     slim = items.select(F.col(item_id).cast("string").alias("item_id"), whole_text(text).alias("text"))
-    size = slim.agg(F.coalesce(F.sum(F.octet_length("text") * 4), F.lit(0))).first()[0]
-    folder = work_folder(docs.sparkSession)
-    blocks = [[(r.item_id, r.text) for r in slim.collect()]] if size <= block_bytes else _blocks(((r.item_id, r.text) for r in slim.toLocalIterator()), block_bytes)
-    index, out = None, None
-    for rows in blocks:
+    found = []
+    for rows in _blocks(((r.item_id, r.text) for r in slim.toLocalIterator()), block_bytes):
         windows = item_windows(rows, window)
-        terms = sorted({t for w, _ in windows for t in w})
-        if index is None:
-            small = [t.encode() for t in terms] if size <= block_bytes else None
-            index = cut(build_index(docs, small, gap=window + 2 * slop, doc_id=doc_id, text=text), folder, "index")
-            counts = index.where("term is not null").groupBy("term").agg(F.sum("n_pos").alias("n"))
-            if small is None:
-                counts = cut(counts, folder, "terms")
-        asked = counts if size <= block_bytes else counts.join(docs.sparkSession.createDataFrame([(t,) for t in terms], "term string"), "term", "left_semi")
-        found = search_index(index, windows, {r.term: r.n for r in asked.collect()}, slop)
-        out = found if out is None else out.unionByName(found)
-    if size <= block_bytes:
-        return out
+        asked = F.broadcast(spark.createDataFrame([(t,) for t in sorted({t for w, _ in windows for t in w})], "term string"))
+        lists = index.where("term is not null").join(asked, "term", "left_semi").select(index.columns)
+        frequency = {r.term: r.n for r in lists.groupBy("term").agg(F.sum("n_pos").alias("n")).collect()}
+        found.append(search_index(index.where("term is null").unionByName(lists), windows, frequency, slop))
+    if len(found) == 1:
+        return found[0]
+    out = found[0]
+    for f in found[1:]:
+        out = out.unionByName(f)
     lists = [F.flatten(F.collect_list(c)).alias(c) for c in ("spans", "near_spans")] + [F.array_distinct(F.flatten(F.collect_list(c))).alias(c) for c in ("items", "near_items")]
-    merged = out.groupBy("shard", "ordinal", "doc_id", "n_words").agg(*lists)
+    merged = out.groupBy("file", "row", "doc_id", "n_words").agg(*lists)
     return merged.withColumns({c: merge_spans(c) for c in ("spans", "near_spans")})
 
 
@@ -256,12 +313,15 @@ def merge_spans(column: str):
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, **names) -> DataFrame:
-    """docs without the documents that hold a window of an item, all columns kept.
+    """docs without the rows that hold a window of an item, all columns kept, whatever they are called.
 
-    A document is known by its doc_id: rows that repeat a contaminated id go too; rows with a null id stay
-    unless one of them is contaminated.
+    Each row is judged by itself: rows with a null or repeated doc_id go or stay by their own text.
     """
-    doc_id = names.get("doc_id", "doc_id")
-    found = find_contamination(docs, items, window, **names)
-    bad = cut(found.where(F.size("spans") > 0).select(F.col("doc_id").alias("_bad")).distinct(), work_folder(docs.sparkSession), "contaminated")
-    return without(docs, bad, doc_id, "_bad")
+    folder = work_folder(docs.sparkSession)
+    file, row = fresh(docs.columns, "file", "row")
+    at = placed(docs, folder, file, row)
+    doc_id, text = names.get("doc_id", "doc_id"), names.get("text", "text")
+    index = cut(build_index(at.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))), folder, "index")
+    found = find_contamination(docs, items, window, index=index, **names)
+    bad = cut(found.where(F.size("spans") > 0).select("file", "row"), folder, "contaminated")
+    return without(at, bad, file, row)

@@ -65,3 +65,39 @@ def test_empty_inputs_and_filter(spark):
     assert kept.columns == docs.columns
     left = [r.doc_id for r in kept.collect()]
     assert not {1, 2, 3} & set(left) and {4, 5, 7, 8, 9, 10, 12} <= set(left)
+
+
+def test_two_benchmarks_share_one_index(spark):
+    docs = documents(spark)
+    one, two = (spark.createDataFrame(x, "item_id long, text string") for x in (ITEMS[:3], ITEMS[3:]))
+    index = D.written_index(docs)
+    words = {w for _, t in texts(docs) for w in D.words_of(t.encode())}
+    assert {r.term.encode() for r in index.where("term is not null").collect()} == words
+    for items, rows in ((one, ITEMS[:3]), (two, ITEMS[3:])):
+        assert result(D.find_contamination(docs, items, 10, index=index)) == brute(texts(docs), rows, 10)
+
+
+def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
+    monkeypatch.setattr(D, "PIECE_BYTES", 50)
+    long = [t for _, t in texts(documents(spark)) if t]
+    for t in [*long, "x" * 200, " ".join(long), ""]:
+        terms, ends, differences, first, n = D._postings([b"a b", t.encode(), b"c"])
+        words_ = D.words_of(t.encode())
+        assert n.tolist() == [2, len(words_), 1]
+        start = 0
+        for term, end in zip(terms, ends.tolist(), strict=True):
+            at = [int(x) for x in differences[start:end].cumsum()]
+            assert [p - int(first[1]) for p in at if first[1] <= p < first[1] + n[1]] == [i for i, w in enumerate(words_) if w == term]
+            start = end
+
+
+def test_rows_that_share_an_id_are_judged_by_their_own_text(spark):
+    docs = frame(spark, [(None, "the lazy dog", "en", "a", 0), (None, "clean", "en", "a", 0), (7, "a lazy dog", "en", "a", 0), (7, "clean too", "en", "a", 0)]).withColumnRenamed("component_id", "file")
+    kept = D.decontaminate(docs, spark.createDataFrame([(2, "lazy dog")], "item_id long, text string"), 10)
+    assert kept.columns == docs.columns and sorted(r.text for r in kept.collect()) == ["clean", "clean too"]
+
+
+def test_near_matches_at_the_start_stay_in_their_document(spark):
+    docs = frame(spark, [(1, "zz zz zz", "en", "a", 0), (2, "two rare four", "en", "a", 0)])
+    got = {r.doc_id: r for r in D.find_contamination(docs, spark.createDataFrame([(9, "two x rare four"), (8, "two two rare four")], "item_id long, text string"), 4, slop=2).collect()}
+    assert got[2].near_items == ["8"] and [(s.start, s.end) for s in got[2].near_spans] == [(0, 3)] and not got[1].near_spans
