@@ -60,9 +60,13 @@ def fresh(columns: list[str], *names: str) -> list[str]:
     return out
 
 
-def placed(docs: DataFrame, folder: str, file: str = "file", row: str = "row") -> DataFrame:
-    """docs and two more columns that tell a row: a hash of its file's path, and its place there. Rows that are in no files are written once."""
-    at = lambda d: d.select(*(d[f"`{c}`"] for c in d.columns), F.xxhash64(d["_metadata.file_path"]).alias(file), d["_metadata.row_index"].alias(row))
+def placed(docs: DataFrame, folder: str, file: str = "file", row: str = "row", named: bool = False) -> DataFrame:
+    """docs and two more columns that tell a row: a hash of its file's path (named: its file's name), and its place there.
+
+    Rows that are in no files are written once, in the order of their partitions.
+    """
+    of = lambda d: d["_metadata.file_name"] if named else F.xxhash64(d["_metadata.file_path"])
+    at = lambda d: d.select(*(d[f"`{c}`"] for c in d.columns), of(d).alias(file), d["_metadata.row_index"].alias(row))
     try:
         return at(docs)
     except AnalysisException:
@@ -116,3 +120,17 @@ def slices(batch, byte_col: int, most: int = 16 << 20):
         to = max(at + 1, int(np.searchsorted(ends, ends[at] + most, side="right")) - 1)
         yield batch.slice(at, to - at)
         at = to
+
+
+def word_pieces(text: bytes, most: int):
+    """A text in pieces of about `most` bytes, cut at blanks; words are never cut."""
+    import re
+
+    blank, at = re.compile(rb"[ \t-\r]"), 0
+    while len(text) - at > most:
+        m = blank.search(text, at + most)
+        if not m:
+            break
+        yield text[at : m.start()]
+        at = m.start()
+    yield text[at:]

@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget_caches, fresh, placed, slices, whole_text, without, work_folder
+from .common import cut, forget_caches, fresh, placed, slices, whole_text, without, word_pieces, work_folder
 
 #: Byte to byte: A-Z to a-z, other characters up to 7F that are neither digits nor letters to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -48,18 +48,6 @@ def windows_of(words: list, length: int) -> list[tuple]:
     return [tuple(words[i : i + length]) for i in range(n)]
 
 
-def _pieces(folded: bytes, most: int = PIECE_BYTES) -> Iterator[bytes]:
-    """A folded text in pieces of about `most` bytes, cut at spaces."""
-    at = 0
-    while len(folded) - at > most:
-        to = folded.find(b" ", at + most)
-        if to < 0:
-            break
-        yield folded[at:to]
-        at = to
-    yield folded[at:]
-
-
 def _postings(texts: list[bytes]):
     """(terms, list ends in words, differences, first positions, word counts) of a shard's texts."""
     from itertools import chain
@@ -83,7 +71,7 @@ def _postings(texts: list[bytes]):
             continue
         take(list(chain.from_iterable(held)))
         held, count = [], 0
-        for piece in _pieces(folded):
+        for piece in word_pieces(folded, PIECE_BYTES):
             words = piece.split()
             count += len(words)
             take(words)

@@ -1,13 +1,21 @@
-"""Near copies by the Jaccard similarity of word shingle sets, exact: no pair at or over 0.8 is missed, none under it is linked.
-
-Each text becomes the set of 64-bit hashes of its shingles; equal sets are one from there on. In any common
-order of the hashes, two sets with similarity of at least 4/5 share a hash among the first |S| - ceil(4|S|/5) + 1
-of each (prefix filter). Those hashes are the join keys; places in the order and the count of shared keys bound the
-overlap, and the pairs left are verified on the whole sets. Hashes shared by more than `HOT` documents come last in the order, so
-a common line makes no pairs.
-
-A key that more than `LARGE` sets share (a large group of copies) is tried first with a few centres only. Pairs
-that those links connect already need no check: then only sets outside a key's largest component meet the others.
+"""Near copies by SimHash: word shingle sets with a Jaccard similarity of at least 0.8.
+
+Every set of shingles gets a fingerprint of 128 bits. Two sets of similarity 0.8 differ in a share acos(8/9)/pi of
+the bits on average, 15 %, so in 19 +- 4 of them; pairs over `RADIUS` = 40 bits are discarded (five deviations: of
+pairs at the limit one in ten million is lost; of sets under nine shingles, which scatter more, those over
+`SMALL_RADIUS`), which random pairs (64 +- 6) hardly pass. What is left is verified on the whole sets, so no pair
+under 0.8 is linked. For that sets travel as 32-bit hashes: of two sets of 300 shingles, one shingle in 40000 pairs is miscounted.
+
+No key of few bits is equal in all pairs that far apart, as the 64-bit links of `simhash` have it. So pairs meet
+on shingles: in any common order of the hashes, two sets of similarity 4/5 share a hash among the first
+|S| - ceil(4|S|/5) + 1 of each, and where it stands bounds the overlap. Hashes shared by more than `HOT` documents come last in the order, so a
+common line makes no pairs.
+
+A hash that more than `LARGE` sets share (a large group of copies) has pivots: `CENTRES` of its sets, whose
+distances to all the others are written in a table. Sets are compared with the pivots first. Only those that these
+links leave outside the hash's largest component meet the others, pairs whose distances to any pivot differ by
+over `RADIUS` are discarded, and so are those whose fingerprints do. Of the pairs of small groups, too, each set's
+nearest is verified first, and after it only pairs that are not connected yet.
 """
 
 from __future__ import annotations
@@ -17,13 +25,17 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SMALL_ROWS, cut, forget_caches, slices, whole_text
+from .common import cut, forget_caches, slices, small, whole_text, word_pieces
 from .components import components
 
 LARGE = 48
 CENTRES = 3
 HOT = 500
 MOST_HOT = 200_000
+RADIUS, SMALL_RADIUS, SMALL_SET = 40, 48, 9
+#: Tasks over which a hot hash's sets are dealt when hashes of one set only are sought.
+SALTS = 64
+PIECE_BYTES = 4 << 20
 _LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 
 
@@ -43,12 +55,19 @@ def shingle_sets(texts: list[bytes], shingle: int = 5) -> list:
     import numpy as np
     from xxhash import xxh64_intdigest as h64
 
-    split = [t.translate(_LOWER).split() for t in texts]
-    known = {w: h64(w, 42) for w in {w for words in split for w in words}}
-    flat = np.array([known[w] for words in split for w in words], np.uint64)
+    known: dict = {}
+    parts, sizes = [], []
+    for t in texts:
+        sizes.append(0)
+        for piece in word_pieces(t.translate(_LOWER), PIECE_BYTES):
+            words = piece.split()
+            for w in set(words).difference(known):
+                known[w] = h64(w, 42)
+            parts.append(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
+            sizes[-1] += len(words)
+    flat = np.concatenate([*parts, np.zeros(0, np.uint64)])
     whole, at, out = _folded(flat, shingle), 0, []
-    for words in split:
-        n = len(words)
+    for n in sizes:
         own = whole[at : at + n - shingle + 1] if n >= shingle else _folded(flat[at : at + n], n) if n else whole[:0]
         out.append(np.unique(own))
         at += n
@@ -74,8 +93,38 @@ def _head(s, hot):
     return s[: n - (4 * n + 4) // 5 + 1] if n else s
 
 
+def wide_fingerprints(sets: list):
+    """Two 64-bit words (as signed integers) of each set: a bit is 1 if it is in over half of the hashes, or of hashes made from them."""
+    import numpy as np
+
+    out = np.zeros((len(sets), 2), np.int64)
+    sizes = np.array([len(s) for s in sets])
+    at = 0
+    while at < len(sets):
+        # groups of about 64 K hashes; a longer set is counted part by part
+        to, held = at, 0
+        while to < len(sets) and (to == at or held + sizes[to] <= 1 << 16):
+            held += sizes[to]
+            to += 1
+        counts = np.zeros((to - at, 128), np.int64)
+        own = np.flatnonzero(sizes[at:to])
+        flat = np.concatenate(sets[at:to]).view(np.uint64)
+        starts = np.append(0, np.cumsum(sizes[at:to])[:-1])[own]
+        for lo in range(0, len(flat), 1 << 16):
+            part = flat[lo : lo + (1 << 16)]
+            second = (part ^ (part >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+            bits = np.unpackbits(np.stack([part, second ^ (second >> np.uint64(32))], 1).astype("<u8").view(np.uint8).reshape(-1, 16), axis=1, bitorder="little")
+            inside = np.clip(starts - lo, 0, len(part))
+            live = np.flatnonzero((starts + sizes[at:to][own] > lo) & (starts < lo + len(part)))
+            if len(live):
+                counts[own[live]] += np.add.reduceat(bits, inside[live], axis=0, dtype=np.int64)
+        out[at:to] = np.packbits(2 * counts > sizes[at:to, None], axis=1, bitorder="little").view("<i8")
+        at = to
+    return out
+
+
 def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the set's number) of every row with c null; besides, rows with a hash fp and how often (c) a task saw it among the first of its sets."""
+    """doc_id, fp (the set's number), file, row of every row with c null; besides, rows with a hash fp and how often (c) a task saw it among the first of its sets."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -84,49 +133,64 @@ def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
         forget_caches()
         none = np.zeros(0, np.int64)
         heads, held = [], 0
+        names = ["doc_id", "fp", "file", "row", "c"]
 
         def counted():
             keys, c = np.unique(np.concatenate([*heads, none]), return_counts=True)
             keys, c = keys[c > 2], c[c > 2]
-            return pa.RecordBatch.from_arrays([pa.nulls(len(keys), pa.int64()), pa.array(keys), pa.array(c.astype(np.int64))], ["doc_id", "fp", "c"])
+            null = pa.nulls(len(keys), pa.int64())
+            return pa.RecordBatch.from_arrays([null, pa.array(keys), null, null, pa.array(c.astype(np.int64))], names)
 
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20):
                 sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
                 heads.append(np.concatenate([_head(s, none) for s in sets]))
                 held += len(heads[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_ids(sets), pa.int64()), pa.nulls(len(sets), pa.int64())], ["doc_id", "fp", "c"])
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_ids(sets), pa.int64()), batch.column(2), batch.column(3), pa.nulls(len(sets), pa.int64())], names)
                 if held > 4 << 20:
                     yield counted()
                     heads, held = [], 0
         yield counted()
 
-    return docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t")).mapInArrow(run, "doc_id long, fp long, c long")
+    slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"), "file", "row")
+    return slim.mapInArrow(run, "doc_id long, fp long, file long, row long, c long")
 
 
 def prefixes(docs: DataFrame, hot: list[int], shingle: int = 5, text: str = "text") -> DataFrame:
-    """key, fp, n (hashes of the set), at (place from 1) of the first hashes of each row's set."""
+    """key, fp, n (hashes of the set), at (place from 1), hot, s1, s2 (fingerprint) of the first hashes of each row's set; sets that a task sees again are left out."""
+    shared = docs.sparkSession.sparkContext.broadcast(sorted(hot))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         forget_caches()
-        last = np.array(sorted(hot), np.int64)
+        last = np.array(shared.value, np.int64)
+        known: set = set()
         for whole in batches:
             for batch in slices(whole, 0, 2 << 20):
                 sets = shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), shingle)
-                keys = [_head(s, last) for s in sets]
+                if len(known) > 1 << 20:
+                    known.clear()
+                new = {i: s for i, s in zip(set_ids(sets), sets, strict=True) if i not in known}
+                known.update(new)
+                if not new:
+                    continue
+                keys = [_head(s, last) for s in new.values()]
                 counts = [len(k) for k in keys]
+                each = lambda x: pa.array(np.repeat(np.asarray(x, np.int64), counts))  # noqa: B023, E731
                 at = np.concatenate([np.arange(1, c + 1) for c in counts]).astype(np.int32)
-                sizes = np.repeat(np.array([len(s) for s in sets], np.int32), counts)
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.repeat(np.array(set_ids(sets), np.int64), counts)), pa.array(sizes), pa.array(at)], ["key", "fp", "n", "at"])
+                flat = np.concatenate(keys)
+                is_hot = last[np.minimum(np.searchsorted(last, flat), len(last) - 1)] == flat if len(last) else np.zeros(len(flat), bool)
+                s = wide_fingerprints(list(new.values()))
+                n = each([len(x) for x in new.values()]).cast(pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(flat), each(list(new)), n, pa.array(at), pa.array(is_hot), each(s[:, 0]), each(s[:, 1])], ["key", "fp", "n", "at", "hot", "s1", "s2"])
 
-    return docs.select(whole_text(text).alias("t")).mapInArrow(run, "key long, fp long, n int, at int")
+    return docs.select(whole_text(text).alias("t")).mapInArrow(run, "key long, fp long, n int, at int, hot boolean, s1 long, s2 long")
 
 
 def whole_sets(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
-    """fp, hashes of every row."""
+    """fp, n (hashes of the set), hashes (the low halves of them) of every row."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
@@ -137,9 +201,19 @@ def whole_sets(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFra
             for batch in slices(whole, 0, 2 << 20):
                 sets = shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), shingle)
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
-                yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets), pa.int64()), pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets)))], ["fp", "hashes"])
+                n = pa.array([len(s) for s in sets], pa.int32())
+                yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets), pa.int64()), n, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).astype(np.int32)))], ["fp", "n", "hashes"])
 
-    return docs.select(whole_text(text).alias("t")).mapInArrow(run, "fp long, hashes array<long>")
+    return docs.select(whole_text(text).alias("t")).mapInArrow(run, "fp long, n int, hashes array<int>")
+
+
+def _distance(a: str = "", b: str = "2") -> Column:
+    """Differing bits of two fingerprints."""
+    return sum((F.bit_count(F.col(f"{s}{a}").bitwiseXOR(F.col(f"{s}{b}"))) for s in ("s1", "s2")), F.lit(0))
+
+
+def _radius() -> Column:
+    return F.when(F.least("n", "n2") < SMALL_SET, SMALL_RADIUS).otherwise(RADIUS)
 
 
 def _possible() -> Column:
@@ -149,61 +223,74 @@ def _possible() -> Column:
 
 
 def _second(shared: DataFrame, *more: str) -> DataFrame:
-    return shared.select("key", F.col("fp").alias("fp2"), F.col("n").alias("n2"), F.col("at").alias("at2"), *(F.col(c).alias(f"{c}2") for c in more))
-
-
-def _pair() -> list[str | Column]:
-    return ["key", F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), (F.col("n") + F.col("n2")).alias("total"), F.greatest("n", "n2").alias("most")]
-
+    return shared.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "at", "s1", "s2", *more)))
 
-def _enough(met: DataFrame) -> DataFrame:
-    """a, b of rows (key, a, b, total, most) of all keys shared by pairs, each once, where as many keys are shared as similar sets must share.
 
-    What two sets share is in both first parts, or behind the first part of the one that ends first.
-    """
-    n = met.groupBy("a", "b", "total", "most").agg(F.count("*").alias("c"))
-    return n.where(9 * (F.col("c") + F.floor((4 * F.col("most") + 4) / 5) - 1) >= 4 * F.col("total")).select("a", "b")
+def _met(pairs: DataFrame) -> DataFrame:
+    """a, b, d (differing bits), each pair once, of rows that share a key and pass all bounds."""
+    near = pairs.where(_possible()).withColumn("d", _distance()).where(F.col("d") <= _radius())
+    return near.select(F.least("fp", "fp2").alias("a"), F.greatest("fp", "fp2").alias("b"), "d").distinct()
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, folder: str, name: str) -> DataFrame:
-    """The pairs (a, b) whose sets have a similarity of at least 4/5."""
-    pairs = cut(pairs.distinct(), folder, f"{name}-pairs")
-    asked = cut(pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct(), folder, f"{name}-asked")
-    if asked.count() <= SMALL_ROWS:
-        asked = F.broadcast(asked)
-    own = cut(sets.join(asked, "fp", "left_semi").groupBy("fp").agg(F.first("hashes").alias("hashes")), folder, f"{name}-sets")
-    a, b = (own.select(F.col("fp").alias(c), F.col("hashes").alias(f"h{c}")) for c in "ab")
-    met = pairs.join(a, "a").join(b, "b")
-    return cut(met.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.size("ha") + F.size("hb"))).select("a", "b"), folder, f"{name}-links")
+def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, folder: str, name: str, shingle: int, text: str) -> DataFrame:
+    """The pairs (a, b) whose sets have a similarity of at least 4/5. places: fp, file, row of one row for each set."""
+    pairs = cut(pairs.select("a", "b").distinct(), folder, f"{name}-pairs")
+    asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
+    asked = cut(places.join(small(cut(asked, folder, f"{name}-asked")), "fp").select(F.col("file").alias("_f"), F.col("row").alias("_r")), folder, f"{name}-places")
+    own = docs.join(small(asked), (F.col("file") == F.col("_f")) & (F.col("row") == F.col("_r")), "left_semi")
+    sets = cut(whole_sets(own, shingle, text), folder, f"{name}-sets")
+    a, b = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}")) for c in "ab")
+    # b's set travels to a's: one shuffle of either side
+    met = b.join(small(pairs), "b").join(a, "a")
+    return cut(met.where(9 * F.size(F.array_intersect("ha", "hb")) >= 4 * (F.col("na") + F.col("nb"))).select("a", "b"), folder, f"{name}-links")
 
 
-def links(docs: DataFrame, seen: DataFrame, folder: str, shingle: int = 5, text: str = "text") -> DataFrame:
-    """Edges (a, b) between set numbers that connect exactly what pairs with a similarity of at least 4/5 connect; seen: numbered(docs)."""
+def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
+    """(doc_id, fp, file, row of every row of docs; edges (a, b) between numbers fp that connect what pairs of similarity 4/5 connect). docs have places (file, row)."""
+    seen = cut(numbered(docs, shingle, doc_id, text), folder, "numbered")
+    made = seen.where("c is null").drop("c")
+    places = made.groupBy("fp").agg(F.min(F.struct("file", "row")).alias("p")).select("fp", "p.*")
     hot = [x.fp for x in seen.where("c is not null").groupBy("fp").agg(F.sum("c").alias("c")).where(F.col("c") > HOT).orderBy(F.desc("c"), "fp").limit(MOST_HOT).collect()]
-    sets = whole_sets(docs, shingle, text)
-    # one exchange of the keys: those that only one set has go behind it
-    posted = prefixes(docs, hot, shingle, text).repartition("key")
-    own = Window.partitionBy("key")
-    shared = posted.withColumns({"lo": F.min("fp").over(own), "hi": F.max("fp").over(own)}).where("lo <> hi").select("key", "fp", "n", "at").distinct()
-    shared = cut(shared, folder, "shared")
-    size = shared.groupBy("key").agg(F.count("*").alias("c"))
-    small = shared.join(size.where(F.col("c") <= LARGE), "key")
-    pairs = small.join(_second(small), "key").where(F.col("fp") < F.col("fp2")).where(_possible()).select(*_pair())
-    large = cut(shared.join(size.where(F.col("c") > LARGE), "key").drop("c"), folder, "large")
-    if large.isEmpty():
-        return _verified(_enough(pairs), sets, folder, "all")
-    stars = None
-    for r in range(CENTRES):
-        centre = large.groupBy("key").agg(F.min_by(F.struct("fp", "n", "at"), F.xxhash64("fp", F.lit(r))).alias("s")).select("key", "s.*")
-        beside = large.join(_second(centre), "key").where("fp <> fp2").where(_possible()).select(*_pair())
-        stars = beside if stars is None else stars.union(beside)
-    known = _verified(stars.select("a", "b"), sets, folder, "stars")
-    roots = components(known, f"{folder}/stars")
-    placed = cut(large.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), folder, "placed")
-    most = placed.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
-    outside = placed.join(most, "key").where("root <> top").drop("top")
-    rest = outside.join(_second(placed, "root"), "key").where("root <> root2").where(_possible()).select(*_pair()).distinct()
-    # a pair of one component has not all its keys here, and needs no check
-    own = roots.select(F.col("node").alias("a"), F.col("root").alias("ra")), roots.select(F.col("node").alias("b"), F.col("root").alias("rb"))
-    apart = pairs.join(own[0], "a", "left").join(own[1], "b", "left").where(F.coalesce(F.col("ra") != F.col("rb"), F.lit(True))).drop("ra", "rb")
-    return known.union(_verified(_enough(apart.unionByName(rest)), sets, folder, "all"))
+    # one exchange of the keys: those that only one set has go behind it; hot ones, dealt over many tasks, all stay
+    salt = F.when(F.col("hot"), F.pmod("fp", F.lit(SALTS))).otherwise(0)
+    posted = prefixes(docs, hot, shingle, text).withColumn("salt", salt).repartition("key", "salt")
+    own = Window.partitionBy("key", "salt")
+    columns = ["key", "fp", "n", "at", "s1", "s2"]
+    shared = posted.withColumns({"lo": F.min("fp").over(own), "hi": F.max("fp").over(own)}).where("hot or lo <> hi").select("salt", *columns).distinct()
+    shared = cut(shared.drop("salt"), folder, "shared")
+    size = cut(shared.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), folder, "sizes")
+    few = shared.join(size.where(F.col("c") <= LARGE), "key").select(columns)
+    pairs = cut(_met(few.join(_second(few), "key").where(F.col("fp") < F.col("fp2"))), folder, "few")
+    large = cut(shared.join(small(size.where(F.col("c") > LARGE)), "key").select(columns), folder, "large")
+    each = pairs.select(F.col("a").alias("x"), "a", "b", "d").union(pairs.select(F.col("b").alias("x"), "a", "b", "d"))
+    first = each.groupBy("x").agg(F.min(F.struct("d", "a", "b")).alias("p")).select("p.a", "p.b")
+    crowded = not large.isEmpty()
+    if crowded:
+        # the pivots of each key, and the table of distances to them
+        pivots = large.select("key")
+        for r in range(CENTRES):
+            one = large.groupBy("key").agg(F.min_by(F.struct("fp", "n", "at", "s1", "s2"), F.xxhash64("fp", F.lit(r))).alias(f"p{r}"))
+            pivots = one if not r else pivots.join(one, "key")
+        pivots = cut(pivots, folder, "pivots")
+        table = large.join(small(pivots), "key")
+        for r in range(CENTRES):
+            d = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"p{r}.{s}"))) for s in ("s1", "s2")), F.lit(0))
+            table = table.withColumn(f"d{r}", d)
+        table = cut(table, folder, "distances")
+        for r in range(CENTRES):
+            beside = table.select(*columns, *(F.col(f"p{r}.{c}").alias(f"{c}2") for c in ("fp", "n", "at", "s1", "s2")))
+            first = first.union(_met(beside.where("fp <> fp2")).select("a", "b"))
+    known = _verified(first, docs, places, folder, "first", shingle, text)
+    roots = components(known, f"{folder}/nearest")
+    ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
+    rest = pairs.select("a", "b")
+    if crowded:
+        at = cut(table.select(*columns, *(f"d{r}" for r in range(CENTRES))).join(small(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), folder, "members")
+        most = at.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
+        outside = at.join(small(cut(most, folder, "tops")), "key").where("root <> top").drop("top")
+        met = outside.join(_second(at, "root", *(f"d{r}" for r in range(CENTRES))), "key").where("root <> root2")
+        for r in range(CENTRES):
+            met = met.where(F.abs(F.col(f"d{r}") - F.col(f"d{r}2")) <= _radius())
+        rest = rest.union(_met(met).select("a", "b"))
+    apart = rest.join(small(ra), "a", "left").join(small(rb), "b", "left").where(F.coalesce(F.col("ra") != F.col("rb"), F.lit(True))).select("a", "b")
+    return made, known.union(_verified(apart.join(known, ["a", "b"], "left_anti"), docs, places, folder, "rest", shingle, text))

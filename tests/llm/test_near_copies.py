@@ -75,3 +75,48 @@ def test_awkward_rows(spark):
     got = S.similar(docs).collect()
     assert sorted((r.doc_id or -1, r.component_id or -1) for r in got) == sorted((i or -1, least.get(c, -1)) for (i, _), c in zip(t, g, strict=True))
     assert S.similar(docs.limit(0)).count() == 0
+
+
+def test_wide_fingerprints_count_bits_part_by_part():
+    import numpy as np
+
+    draw = np.random.default_rng(4)
+    sets = [np.unique(draw.integers(-(1 << 63), 1 << 63, n)) for n in (0, 1, 2, 7, 500, 150_000, 3, 0, 70_000)]
+    for s, got in zip(sets, N.wide_fingerprints(sets), strict=True):
+        w = s.view(np.uint64)
+        x = (w ^ (w >> np.uint64(31))) * np.uint64(0xD6E8FEB86659FD93)
+        for half, word in zip((w, x ^ (x >> np.uint64(32))), got, strict=True):
+            ones = [int(((half >> np.uint64(b)) & np.uint64(1)).sum()) for b in range(64)]
+            assert int(word) & (1 << 64) - 1 == sum(1 << b for b, c in enumerate(ones) if 2 * c > len(s))
+
+
+def test_radius_loses_no_pair_at_the_limit():
+    """Random pairs of sets of similarity 0.8 and a little more, of many sizes, are far inside the radius; two bits are not."""
+    import numpy as np
+
+    draw, far = np.random.default_rng(6), []
+    for n in (5, 10, 18, 40, 200, 1000):
+        for _ in range(400):
+            both = draw.integers(-(1 << 63), 1 << 63, n)
+            gone = n // 10
+            a = np.unique(both[: n - gone]) if gone else np.unique(both)
+            b = np.unique(np.concatenate([both[gone:], draw.integers(-(1 << 63), 1 << 63, 0 if gone else 1)]))
+            if 9 * len(np.intersect1d(a, b)) >= 4 * (len(a) + len(b)):
+                w = N.wide_fingerprints([a, b]).view(np.uint64)
+                far.append((sum(int(x).bit_count() for x in (w[0] ^ w[1]).tolist()), min(len(a), len(b))))
+    assert len(far) > 1500 and all(d < (N.SMALL_RADIUS if n < N.SMALL_SET else N.RADIUS) for d, n in far) and np.mean([d > 4 for d, _ in far]) > 0.9
+
+
+def test_long_texts_are_taken_in_pieces(monkeypatch):
+    t = [x.encode() for _, x in [(0, "a b c d e f g " * 40), (1, "lone"), (2, "x y"), (3, ""), (4, "A b\tc\nd " * 9)]]
+    want = S.fingerprint_batch(t), [s.tolist() for s in N.shingle_sets(t)]
+    monkeypatch.setattr(S, "PIECE_BYTES", 3)
+    monkeypatch.setattr(N, "PIECE_BYTES", 3)
+    assert S.fingerprint_batch(t).tolist() == want[0].tolist() and [s.tolist() for s in N.shingle_sets(t)] == want[1]
+
+
+def test_one_text_for_all_rows_and_rows_without_ids(spark):
+    docs = frame(spark, [(i if i % 3 else None, "the same text again and again in every row", "en", "a", 0) for i in range(60)])
+    kept = S.keep_one_similar(docs).collect()
+    assert [r.doc_id for r in kept] == [1] and S.keep_one(docs).collect()[0].doc_id == 1
+    assert S.keep_one_similar(docs.limit(0)).count() == 0 and {r.component_id for r in S.near_duplicates(docs).collect()} == {1}

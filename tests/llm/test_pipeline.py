@@ -7,7 +7,7 @@ P = pytest.importorskip("public_tokenizers")
 
 import corpus_pipeline  # noqa: E402
 
-from . import test_simhash  # noqa: E402
+from . import test_near_copies  # noqa: E402
 from .test_decontamination import brute  # noqa: E402
 
 
@@ -22,7 +22,7 @@ def test_stages_against_brute_force(spark, sf, tmp_path):
     assert all(k.columns == docs.columns for k in kept[:-1])
     ids = [{r.doc_id for r in x} for x in rows]
     assert ids[1] == ids[0]
-    g = test_simhash.groups([test_simhash.fingerprint(r.text) for r in rows[1]])
+    g = test_near_copies.groups([r.text for r in rows[1]])
     assert ids[2] == {min(r.doc_id for r, c in zip(rows[1], g, strict=True) if c == own) for own in set(g)}
     items = [(r.item_id, r.text) for r in spark.read.parquet(f"{sf}/benchmark.parquet").collect()]
     assert ids[3] == {i for _, i, _, hit, _ in brute([(r.doc_id, r.text) for r in rows[2]], items, 10) if not hit}
