@@ -7,11 +7,11 @@ writes ids in that order, so the mix is the order of the token files.
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 
 from labelwright.llm import decontamination, language_id, mixing, simhash, token_files
-from labelwright.llm.common import ship, table, work_folder
+from labelwright.llm.common import placed, ship, table, work_folder
+from labelwright.sources.work import clear, mark
 
 #: SQL can express neither XXH64 fingerprints nor the tokenizer.
 ORACLE_SQL = None
@@ -24,7 +24,7 @@ def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, that with the smallest doc_id, of each group of near copies: those that links of similarity >= 0.8 of five-word shingles connect."""
+    """One document, that with the smallest doc_id, of each group of near copies: those that SimHash links, verified at a similarity of 0.8 of five-word shingles, connect."""
     ship(spark)
     return simhash.keep_one_similar(docs, shingle=5)
 
@@ -40,16 +40,12 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, start, n_tokens, ids_crc32 from token files in the order in which docs are laid out (doc_id, if docs are in no files)."""
+    """doc_id, start, n_tokens, ids_crc32 from token files in the order in which docs are laid out: by file, and by place in it."""
     import public_tokenizers
 
     ship(spark)
-    path = public_tokenizers.path("byte_bpe_50k.json")
-    try:
-        laid = docs.select("doc_id", "text", docs["_metadata.file_name"].alias("_file"), docs["_metadata.row_index"].alias("_row"))
-    except AnalysisException:
-        return token_files.token_files(docs, path)
-    return token_files.token_files(laid, path, order=["_file", "_row"])
+    laid = placed(docs.select("doc_id", "text"), work_folder(spark), "file", "row", named=True)
+    return token_files.token_files(laid, public_tokenizers.path("byte_bpe_50k.json"), order=["file", "row"])
 
 
 STAGES = [
@@ -62,11 +58,16 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over the whole documents table; the last one's rows."""
+    """All stages over the whole documents table; the last one's rows.
+
+    A stage's work folders go once its rows are written; those of the last one stay, as its rows are read from them.
+    """
     docs, folder = table(spark, sf_dir, "documents"), work_folder(spark)
     for i, (name, stage) in enumerate(STAGES):
+        before = mark()
         docs = stage(spark, docs, sf_dir)
         if i < len(STAGES) - 1:
             docs.write.parquet(f"{folder}/{i}-{name}")
             docs = spark.read.parquet(f"{folder}/{i}-{name}")
+            clear(spark, before)
     return docs
