@@ -6,8 +6,11 @@ Not all suffixes can be exchanged: each would carry up to 100 bytes. Three exact
    same anchor at the same place, so only windows whose anchor's K-gram occurs at another anchor, too, can
    be repeated. Consecutive windows share an anchor (35 on average): an anchor stands for a range of windows.
 2. Contents. Anchors are exchanged as hashes (of the K-gram, and of all bytes of the anchor's windows), packed
-   by bucket. Of the anchors with equal K-gram and equal content all but the first are repeated as a whole.
-   If all anchors of a K-gram have one content, that is all there is to know.
+   by bucket. Of the anchors with equal K-gram and equal content all but the first are repeated as a whole. A
+   task tells that of its own anchors at once and sends on the first of each content only, so a passage that
+   much of the corpus shares fills no bucket. If all anchors of a K-gram have one content, that is all there is
+   to know. Hashes are seeded by a number drawn for each run, 64 bits for K-grams and 128 more for contents:
+   equal ones count as equal bytes.
 3. The others, one for each content, are sorted: each task sorts the suffixes that begin at its anchors, and
    sends them as front-coded runs (length of the prefix shared with the suffix before, then the rest). A
    bucket merges its runs with a loser tree over common-prefix lengths, which never compares known prefixes
@@ -35,11 +38,13 @@ REACH = WINDOW - K + 1
 CHUNK_ROWS, BUCKET_BYTES, HELD = 1024, 24 << 20, 200_000
 #: Text worked on at once when anchors are sought: about ten arrays of eight bytes for each of its bytes.
 SLICE_BYTES = 1 << 20
-_A, _B = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F
+#: A longer text is taken in pieces that overlap by a window less a byte.
+PIECE_BYTES = 16 << 20
+_A, _B, _C = 0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9
 _PLACE = (1 << 28) - 1
 NO_ID = -(2**63)
 
-ANCHOR = [("h", "<u8"), ("full", "<u8"), ("doc", "<i8"), ("p", "<u4"), ("row", "<u2"), ("chunk", "<u2"), ("lo", "u1"), ("n", "u1")]
+ANCHOR = [("h", "<u8"), ("full", "<u8"), ("more", "<u8"), ("doc", "<i8"), ("p", "<u4"), ("row", "<u2"), ("chunk", "<u2"), ("lo", "u1"), ("n", "u1")]
 NOTE = [("p", "<u4"), ("row", "<u2"), ("lo", "u1"), ("n", "u1"), ("open", "u1")]
 RUN = [("start", "<u4"), ("row", "<u2"), ("n", "u1")]
 
@@ -68,17 +73,15 @@ def _join(parts: list[dict]) -> dict:
     return {k: np.concatenate([p[k] for p in parts]) for k in parts[0]}
 
 
-def anchors(data, starts, ends):
-    """Anchors of the windows of texts [start, end) in a byte array: hash, content hash, first window, place, last window."""
+def anchors(data, starts, ends, seed: int = 0):
+    """Anchors of the windows of texts [start, end) in a byte array of up to 256 MiB: hash, two content hashes, first window, place, last window."""
     import numpy as np
 
     n = len(data)
-    if n > _PLACE:
-        raise ValueError("a text of more than 256 MiB")
     padded = np.zeros(n + 48, np.uint8)
     padded[:n] = data
     w = np.ndarray((n + 24,), "<u8", padded, strides=(1,)).copy()
-    h = w[:n] * np.uint64(_A)
+    h = (w[:n] ^ np.uint64(seed)) * np.uint64(_A)
     for i, c in ((8, _B), (16, _A), (24, _B)):
         h ^= h >> np.uint64(29)
         h += w[i : n + i]
@@ -97,18 +100,46 @@ def anchors(data, starts, ends):
     i = first + np.arange(len(first))
     if not len(i):
         z = np.zeros(0, np.int64)
-        return z.astype(np.uint64), z.astype(np.uint64), z, z, z
+        return (z.astype(np.uint64),) * 3 + (z, z, z)
     a = (np.minimum(after[i], before[i + REACH - 1]) & np.uint64(_PLACE)).astype(np.int64)
     new = np.append(True, (a[1:] != a[:-1]) | (i[1:] != i[:-1] + 1))
     head = np.flatnonzero(new)
     tail = np.append(head[1:], len(i)) - 1
     s, e, p = i[head], i[tail], a[head]
-    content = np.uint64(_B) * (((p - s) << 8) | (e - s)).astype(np.uint64)
     last = e + WINDOW - K
-    for t in range(0, 2 * WINDOW - K, K):
-        content = (content ^ (content >> np.uint64(31))) * np.uint64(_A) + h[np.minimum(s + t, last)]
-    content = (content ^ (content >> np.uint64(29))) * np.uint64(_B)
-    return h[p], content ^ (content >> np.uint64(32)), s, p, e
+
+    def content(begin: int, multiplier: int):
+        out = np.uint64(begin) ^ np.uint64(_B) * (((p - s) << 8) | (e - s)).astype(np.uint64)
+        for t in range(0, 2 * WINDOW - K, K):
+            out = (out ^ (out >> np.uint64(31))) * np.uint64(multiplier) + h[np.minimum(s + t, last)]
+        out = (out ^ (out >> np.uint64(29))) * np.uint64(_B)
+        return out ^ (out >> np.uint64(32))
+
+    return h[p], content(0, _A), content(seed | 1, _C), s, p, e
+
+
+def piecewise(data, starts, ends, key: int = 0):
+    """As anchors, for texts of any length: a long one is taken in pieces, and an anchor's windows may be told in two parts."""
+    import numpy as np
+
+    if len(data) <= PIECE_BYTES:
+        return anchors(data, starts, ends, key)
+    parts = []
+    for x, y in zip(starts.tolist(), ends.tolist(), strict=True):
+        for at in range(x, max(x + 1, y - WINDOW + 1), PIECE_BYTES):
+            to = min(y, at + PIECE_BYTES + WINDOW - 1)
+            h, full, more, *places = anchors(data[at:to], np.array([0]), np.array([to - at]), key)
+            parts.append((h, full, more, *(v + at for v in places)))
+    return tuple(np.concatenate(v) for v in zip(*parts, strict=True))
+
+
+def combine(a: dict) -> tuple[dict, dict]:
+    """(the first anchors of each content, the others: repeated as a whole) of a task's anchors."""
+    import numpy as np
+
+    order = np.lexsort((a["p"], a["row"], a["chunk"], a["doc"], a["more"], a["full"], a["h"]))
+    again = np.append(False, np.all([a[k][order][1:] == a[k][order][:-1] for k in ("h", "full", "more")], axis=0))
+    return {k: v[order[~again]] for k, v in a.items()}, {k: v[order[again]] for k, v in a.items()}
 
 
 def settle(a: dict) -> dict:
@@ -120,12 +151,12 @@ def settle(a: dict) -> dict:
     same = np.append(False, h[1:] == h[:-1])
     kept = order[same | np.append(same[1:], False)]
     a = {k: v[kept] for k, v in a.items()}
-    order = np.lexsort((a["p"], a["row"], a["chunk"], a["doc"], a["full"], a["h"]))
+    order = np.lexsort((a["p"], a["row"], a["chunk"], a["doc"], a["more"], a["full"], a["h"]))
     a = {k: v[order] for k, v in a.items()}
     if not len(order):
         return a | {"open": np.zeros(0, np.uint8)}
     group = np.append(True, a["h"][1:] != a["h"][:-1])
-    content = group | np.append(True, a["full"][1:] != a["full"][:-1])
+    content = group | np.append(True, (a["full"][1:] != a["full"][:-1]) | (a["more"][1:] != a["more"][:-1]))
     number = np.cumsum(group) - 1
     several = np.bincount(number, weights=content)[number] > 1
     told = ~content | several
@@ -291,7 +322,7 @@ def _sorted_buckets(buckets, count: int):
     return order, bounds.tolist()
 
 
-def _first_pass(buckets: int):
+def _first_pass(buckets: int, key: int):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -301,11 +332,20 @@ def _first_pass(buckets: int):
 
         def send():
             a = _join(held)
+            numbers = np.array(list(chunks), "<i8")
+            number = a["chunk"]
+            a, told = combine(a | {"chunk": numbers[number], "number": number})
+            # notes on the others go with the anchors, as groups below zero
+            notes = _by_chunk(told | {"open": np.zeros(len(told["p"]), np.uint8)}, NOTE)
+            if notes.num_rows:
+                of = notes.column("chunk").to_numpy()
+                yield pa.RecordBatch.from_arrays([pa.array(-1 - of % buckets, pa.int64()).cast(pa.int32()), pa.array([c.tobytes() for c in of.astype("<i8")], pa.binary()), notes.column("body").combine_chunks()], ["bucket", "chunks", "body"])
+            a["chunk"] = a["number"]
             bucket = (a["h"] % np.uint64(buckets)).astype(np.int64)
             order, bounds = _sorted_buckets(bucket, buckets)
-            names = np.array(list(chunks), "<i8").tobytes()
+            names = numbers.tobytes()
             rows = [(b, _pack(ANCHOR, {k: v[order[x:y]] for k, v in a.items()})) for b, (x, y) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)) if x < y]
-            return pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([names] * len(rows), pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "chunks", "body"])
+            yield pa.RecordBatch.from_arrays([pa.array([b for b, _ in rows], pa.int32()), pa.array([names] * len(rows), pa.binary()), pa.array([x for _, x in rows], pa.binary())], ["bucket", "chunks", "body"])
 
         for whole in batches:
             for batch in slices(whole, 3, SLICE_BYTES):
@@ -314,20 +354,20 @@ def _first_pass(buckets: int):
                 at = np.frombuffer(col.buffers()[1], kind)[col.offset : col.offset + len(col) + 1].astype(np.int64)
                 data = np.frombuffer(col.buffers()[2] or b"", np.uint8)[at[0] : at[-1]]
                 at = at - at[0]
-                h, full, s, p, e = anchors(data, at[:-1], at[1:])
+                h, full, more, s, p, e = piecewise(data, at[:-1], at[1:], key)
                 if not len(h):
                     continue
                 d = np.searchsorted(at[1:], s, side="right")
                 chunk = batch.column(0).to_numpy(zero_copy_only=False)
                 number = np.array([chunks.setdefault(c, len(chunks)) for c in chunk.tolist()])
                 ids = batch.column(2).fill_null(NO_ID).to_numpy(zero_copy_only=False)
-                held.append({"h": h, "full": full, "doc": ids[d], "p": p - at[d], "row": batch.column(1).to_numpy(zero_copy_only=False)[d], "chunk": number[d], "lo": p - s, "n": e - s})
+                held.append({"h": h, "full": full, "more": more, "doc": ids[d], "p": p - at[d], "row": batch.column(1).to_numpy(zero_copy_only=False)[d], "chunk": number[d], "lo": p - s, "n": e - s})
                 count += len(h)
                 if count >= HELD or len(chunks) > 60_000:
-                    yield send()
+                    yield from send()
                     held, count, chunks = [], 0, {}
         if held:
-            yield send()
+            yield from send()
 
     return run
 
@@ -345,7 +385,11 @@ def _by_chunk(a: dict, fields: list):
 
 def _settle_bucket(group):
     import numpy as np
+    import pyarrow as pa
 
+    if group.column("bucket")[0].as_py() < 0:
+        names = np.frombuffer(b"".join(group.column("chunks").to_pylist()), "<i8")
+        return pa.table({"chunk": pa.array(names), "body": group.column("body")})
     parts = []
     for names, body in zip(group.column("chunks").to_pylist(), group.column("body").to_pylist(), strict=True):
         a = _unpack(ANCHOR, body)
@@ -559,14 +603,17 @@ def remove_repeats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text",
 
     Earlier: a smaller doc_id, or the same document and an earlier byte. Rows with one doc_id (null comes
     first, as one id) are in an order that is fixed for the same files. want_text adds kept (binary: a cut can
-    split a character) and removed (byte ranges). A null text is empty; empty in, empty out.
+    split a character) and removed (byte ranges). A null text is empty; texts of any length are read whole, long
+    ones in pieces; other columns are not read. Empty in, empty out.
     """
+    import secrets
+
     spark = docs.sparkSession
     folder = work_folder(spark)
     rows = _named(docs, doc_id, text, folder)
     size = rows.agg(F.coalesce(F.sum(F.octet_length("t").cast("long")), F.lit(0))).first()[0]
     buckets = max(8, -(-size // BUCKET_BYTES))
-    sent = rows.mapInArrow(_first_pass(buckets), "bucket int, chunks binary, body binary")
+    sent = rows.mapInArrow(_first_pass(buckets, secrets.randbits(63)), "bucket int, chunks binary, body binary")
     notes = sent.groupBy("bucket").applyInArrow(_settle_bucket, "chunk long, body binary")
     _write_notes(notes, folder, "settled")
     runs = rows.mapInArrow(_second_pass(folder, buckets), RUNS)

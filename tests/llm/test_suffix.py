@@ -77,3 +77,36 @@ def test_loser_tree_merges_and_tells_prefix_lengths():
             a, b = flat[i - 1], flat[i]
             n = next((j for j in range(min(len(a), len(b))) if a[j] != b[j]), min(len(a), len(b)))
             assert shared[i] == n
+
+
+def test_long_texts_are_taken_in_pieces(spark, monkeypatch):
+    import numpy as np
+
+    draw = random.Random(12)
+    x = "".join(draw.choice("abcde ") for _ in range(5000))
+    data = np.frombuffer(x.encode(), np.uint8)
+    ends = np.array([len(x)])
+    windows = lambda a: {(int(p), w) for s, p, e in zip(*a[3:], strict=True) for w in range(int(s), int(e) + 1)}
+    whole = windows(S.anchors(data, np.array([0]), ends, 5))
+    monkeypatch.setattr(S, "PIECE_BYTES", 333)
+    assert windows(S.piecewise(data, np.array([0]), ends, 5)) == whole and len(whole) == 5000 - 99
+    # the driver's pieces, in one process: workers read the module anew
+    keys = S.piecewise(data, np.array([0]), ends, 5)
+    again = S.piecewise(np.concatenate([data, data]), np.array([0, 5000]), np.array([5000, 10000]), 5)
+    assert len(again[0]) == 2 * len(keys[0]) and windows(again) == whole | {(p + 5000, w + 5000) for p, w in whole}
+
+
+def test_one_line_in_every_document(spark):
+    draw = random.Random(13)
+    line = "this very line of some hundred and forty bytes stands in every document of the table, at the same or at another place, and so it fills one group"
+    word = lambda: "".join(draw.choice("abcde") for _ in range(4))
+    check(spark, [(i, " ".join([word() for _ in range(draw.randint(0, 30))] + [line] + [word() for _ in range(20)])) for i in range(150)])
+
+
+def test_a_task_sends_one_anchor_for_each_content():
+    import numpy as np
+
+    n = 1000
+    a = {"h": np.repeat(np.uint64(7), n), "full": np.arange(n, dtype=np.uint64) % 3, "more": np.zeros(n, np.uint64), "doc": np.arange(n)[::-1], "p": np.zeros(n, np.int64), "row": np.zeros(n, np.int64), "chunk": np.zeros(n, np.int64)}
+    first, told = S.combine(a)
+    assert sorted(first["doc"].tolist()) == [0, 1, 2] and len(told["doc"]) == n - 3
