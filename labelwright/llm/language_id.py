@@ -119,19 +119,25 @@ def fit(rows: list[tuple[str, object, object]], clusters: int = 4, reject: float
     for _, at, _ in rows:
         df[at] += 1
     idf = np.log((1 + len(rows)) / (1 + df)) + 1
+    # only the dimensions that the sample has
+    live = np.flatnonzero(df)
+    number = np.zeros(DIMENSIONS, np.int64)
+    number[live] = np.arange(len(live))
     columns, languages, least = [], [], 4.0
     for lang in sorted({r[0] for r in rows}):
         own = [(at, tf * idf[at]) for la, at, tf in rows if la == lang and len(at)]
         if not own:
             continue
-        x = np.zeros((len(own), DIMENSIONS), np.float32)
+        x = np.zeros((len(own), len(live)), np.float32)
         for i, (at, v) in enumerate(own):
-            x[i, at] = v / np.linalg.norm(v)
+            x[i, number[at]] = v / np.linalg.norm(v)
         c = _cluster(x, clusters)
         least = min(least, *((float(v) / reach(len(at))) for v, (at, _) in zip((x @ c.T).max(1), own, strict=True)))
         columns.append(c)
         languages += [lang] * len(c)
-    centroids = np.ascontiguousarray(np.concatenate(columns).T) if columns else np.zeros((DIMENSIONS, 0), np.float32)
+    centroids = np.zeros((DIMENSIONS, len(languages)), np.float32)
+    if columns:
+        centroids[live] = np.concatenate(columns).T
     return Model(idf, centroids, languages, reject * least if columns else 4.0)
 
 

@@ -8,8 +8,8 @@ under 0.8 is linked. For that sets travel as 32-bit hashes: of two sets of 300 s
 
 No key of few bits is equal in all pairs that far apart, as the 64-bit links of `simhash` have it. So pairs meet
 on shingles: in any common order of the hashes, two sets of similarity 4/5 share a hash among the first
-|S| - ceil(4|S|/5) + 1 of each, and where it stands bounds the overlap. Hashes shared by more than `HOT` documents come last in the order, so a
-common line makes no pairs.
+|S| - ceil(4|S|/5) + 1 of each, and where it stands bounds the overlap. Hashes that more than `HOT` sets share come last in the order, the
+most frequent ones at the end, so a common line or passage makes no pairs.
 
 A hash that more than `LARGE` sets share (a large group of copies) has pivots: `CENTRES` of its sets, whose
 distances to all the others are written in a table. Sets are compared with the pivots first. Only those that these
@@ -30,7 +30,7 @@ from .components import components
 
 LARGE = 48
 CENTRES = 3
-HOT = 500
+HOT = 48
 MOST_HOT = 200_000
 RADIUS, SMALL_RADIUS, SMALL_SET = 40, 48, 9
 #: Tasks over which a hot hash's sets are dealt when hashes of one set only are sought.
@@ -82,14 +82,15 @@ def set_ids(sets: list) -> list[int]:
     return [i - (1 << 64) if i >> 63 else i for i in ids]
 
 
-def _head(s, hot):
-    """The hashes of a set that come first, hot ones last in the order: any set with a similarity of at least 4/5 shares one of them in its own."""
+def _head(s, hot, rank):
+    """The hashes of a set that come first, hot ones (ascending, with their ranks) last: any set with a similarity of at least 4/5 shares one of them in its own."""
     import numpy as np
 
     n = len(s)
     if n and len(hot):
-        is_hot = hot[np.minimum(np.searchsorted(hot, s), len(hot) - 1)] == s
-        s = np.concatenate([s[~is_hot], s[is_hot]])
+        at = np.minimum(np.searchsorted(hot, s), len(hot) - 1)
+        is_hot = hot[at] == s
+        s = np.concatenate([s[~is_hot], s[is_hot][np.argsort(rank[at[is_hot]])]])
     return s[: n - (4 * n + 4) // 5 + 1] if n else s
 
 
@@ -124,19 +125,18 @@ def wide_fingerprints(sets: list):
 
 
 def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the set's number), file, row of every row with c null; besides, rows with a hash fp and how often (c) a task saw it among the first of its sets."""
+    """doc_id, fp (the set's number), file, row of every row with c null; besides, rows with a hash fp and in how many (c) of its different sets a task saw it."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         forget_caches()
-        none = np.zeros(0, np.int64)
-        heads, held = [], 0
+        parts, held, known = [np.zeros(0, np.int64)], 0, set()
         names = ["doc_id", "fp", "file", "row", "c"]
 
         def counted():
-            keys, c = np.unique(np.concatenate([*heads, none]), return_counts=True)
+            keys, c = np.unique(np.concatenate(parts), return_counts=True)
             keys, c = keys[c > 2], c[c > 2]
             null = pa.nulls(len(keys), pa.int64())
             return pa.RecordBatch.from_arrays([null, pa.array(keys), null, null, pa.array(c.astype(np.int64))], names)
@@ -144,28 +144,34 @@ def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
         for whole in batches:
             for batch in slices(whole, 1, 2 << 20):
                 sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
-                heads.append(np.concatenate([_head(s, none) for s in sets]))
-                held += len(heads[-1])
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(set_ids(sets), pa.int64()), batch.column(2), batch.column(3), pa.nulls(len(sets), pa.int64())], names)
+                ids = set_ids(sets)
+                new = {i: s for i, s in zip(ids, sets, strict=True) if i not in known}
+                known.update(new)
+                parts.extend(new.values())
+                held += sum(map(len, new.values()))
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), batch.column(2), batch.column(3), pa.nulls(len(sets), pa.int64())], names)
                 if held > 4 << 20:
                     yield counted()
-                    heads, held = [], 0
+                    parts, held, known = parts[:1], 0, set()
         yield counted()
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"), "file", "row")
     return slim.mapInArrow(run, "doc_id long, fp long, file long, row long, c long")
 
 
-def prefixes(docs: DataFrame, hot: list[int], shingle: int = 5, text: str = "text") -> DataFrame:
-    """key, fp, n (hashes of the set), at (place from 1), hot, s1, s2 (fingerprint) of the first hashes of each row's set; sets that a task sees again are left out."""
-    shared = docs.sparkSession.sparkContext.broadcast(sorted(hot))
+def prefixes(docs: DataFrame, hot, shingle: int = 5, text: str = "text") -> DataFrame:
+    """hot: hashes that come last, in this order. key, fp, n (hashes of the set), at (place from 1), hot, s1, s2 (fingerprint) of the first hashes of each row's set; sets that a task sees again are left out."""
+    import numpy as np
+
+    order = np.argsort(hot)
+    shared = docs.sparkSession.sparkContext.broadcast((hot[order], order))
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         forget_caches()
-        last = np.array(shared.value, np.int64)
+        last, rank = shared.value
         known: set = set()
         for whole in batches:
             for batch in slices(whole, 0, 2 << 20):
@@ -176,7 +182,7 @@ def prefixes(docs: DataFrame, hot: list[int], shingle: int = 5, text: str = "tex
                 known.update(new)
                 if not new:
                     continue
-                keys = [_head(s, last) for s in new.values()]
+                keys = [_head(s, last, rank) for s in new.values()]
                 counts = [len(k) for k in keys]
                 each = lambda x: pa.array(np.repeat(np.asarray(x, np.int64), counts))  # noqa: B023, E731
                 at = np.concatenate([np.arange(1, c + 1) for c in counts]).astype(np.int32)
@@ -250,7 +256,9 @@ def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id"
     seen = cut(numbered(docs, shingle, doc_id, text), folder, "numbered")
     made = seen.where("c is null").drop("c")
     places = made.groupBy("fp").agg(F.min(F.struct("file", "row")).alias("p")).select("fp", "p.*")
-    hot = [x.fp for x in seen.where("c is not null").groupBy("fp").agg(F.sum("c").alias("c")).where(F.col("c") > HOT).orderBy(F.desc("c"), "fp").limit(MOST_HOT).collect()]
+    # only the order of hashes depends on these: whatever the order, no pair is missed
+    often = seen.where("c is not null").groupBy("fp").agg(F.sum("c").alias("c")).where(F.col("c") > HOT).orderBy(F.desc("c"), "fp").limit(MOST_HOT)
+    hot = often.select("fp").toArrow().column(0).to_numpy()[::-1]
     # one exchange of the keys: those that only one set has go behind it; hot ones, dealt over many tasks, all stay
     salt = F.when(F.col("hot"), F.pmod("fp", F.lit(SALTS))).otherwise(0)
     posted = prefixes(docs, hot, shingle, text).withColumn("salt", salt).repartition("key", "salt")
