@@ -96,6 +96,22 @@ def forget_caches() -> None:
     """Give back what earlier kinds of tasks keep in this worker: memory is for the task at hand."""
     for cache in _caches:
         cache.clear()
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: a worker serves many tasks, and its peak would stay with it."""
+    import ctypes
+    import gc
+
+    import pyarrow as pa
+
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library: nothing to trim
+        pass
 
 
 def whole_text(text: str = "text"):

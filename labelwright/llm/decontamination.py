@@ -30,7 +30,7 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 #: Items beyond so many bytes of text are searched in blocks of that size; only one block is broadcast at a time.
 ITEM_BLOCK_BYTES = 32 << 20
 #: Text split into words at once; longer texts are taken piece by piece.
-PIECE_BYTES = 4 << 20
+PIECE_BYTES = 2 << 20
 #: Unused positions behind each document; twice the slop must be less.
 GAP = 16
 
@@ -90,7 +90,7 @@ def _postings(texts: list[bytes]):
     return list(vocabulary), ends, differences, first, n
 
 
-def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 8 << 20) -> DataFrame:
+def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", shard_bytes: int = 4 << 20) -> DataFrame:
     """The index of whole texts, all their words; docs have places (file, row).
 
     A null text has no words; null doc_ids and repeated rows are documents of their own. A text of any length

@@ -33,6 +33,8 @@ CENTRES = 3
 HOT = 48
 MOST_HOT = 200_000
 RADIUS, SMALL_RADIUS, SMALL_SET = 40, 48, 9
+#: Hashes that a task holds to count them; a worker's memory is about 40 bytes for each.
+HELD = 1 << 20
 #: Tasks over which a hot hash's sets are dealt when hashes of one set only are sought.
 SALTS = 64
 PIECE_BYTES = 4 << 20
@@ -142,7 +144,7 @@ def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
             return pa.RecordBatch.from_arrays([null, pa.array(keys), null, null, pa.array(c.astype(np.int64))], names)
 
         for whole in batches:
-            for batch in slices(whole, 1, 2 << 20):
+            for batch in slices(whole, 1, 1 << 20):
                 sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist(), shingle)
                 ids = set_ids(sets)
                 new = {i: s for i, s in zip(ids, sets, strict=True) if i not in known}
@@ -150,7 +152,7 @@ def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
                 parts.extend(new.values())
                 held += sum(map(len, new.values()))
                 yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), batch.column(2), batch.column(3), pa.nulls(len(sets), pa.int64())], names)
-                if held > 4 << 20:
+                if held > HELD:
                     yield counted()
                     parts, held, known = parts[:1], 0, set()
         yield counted()
@@ -174,9 +176,9 @@ def prefixes(docs: DataFrame, hot, shingle: int = 5, text: str = "text") -> Data
         last, rank = shared.value
         known: set = set()
         for whole in batches:
-            for batch in slices(whole, 0, 2 << 20):
+            for batch in slices(whole, 0, 1 << 20):
                 sets = shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), shingle)
-                if len(known) > 1 << 20:
+                if len(known) > HELD // 16:
                     known.clear()
                 new = {i: s for i, s in zip(set_ids(sets), sets, strict=True) if i not in known}
                 known.update(new)
@@ -204,7 +206,7 @@ def whole_sets(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFra
 
         forget_caches()
         for whole in batches:
-            for batch in slices(whole, 0, 2 << 20):
+            for batch in slices(whole, 0, 1 << 20):
                 sets = shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), shingle)
                 offsets = pa.array(np.concatenate([[0], np.cumsum([len(s) for s in sets])]), pa.int32())
                 n = pa.array([len(s) for s in sets], pa.int32())

@@ -21,7 +21,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import keep_cache, cut, slices, whole_text, work_folder
+from .common import cut, give_back, keep_cache, slices, whole_text, work_folder
 
 NO_ID = -(2**63)
 CACHE_ENTRIES = 1_500_000
@@ -154,6 +154,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, doc_id: str = "do
         from pyarrow import fs
         from pyspark import TaskContext
 
+        give_back()
         part = TaskContext.get().partitionId()
         name = f"{part:06d}-{uuid.uuid4().hex}"
         store, base = fs.FileSystem.from_uri(folder)
