@@ -80,3 +80,64 @@ def test_stream_gives_closed_batch_sessions(spark, sf, tmp_path):
     out, _ = run_once(session_tracks(frame_stream(spark, f"{tmp_path}/in", src.schema)), "sessions", f"{tmp_path}/check")
     got = {(r.video, r.first_ts): (r.n_seen, r.best_score) for r in out.collect()}
     assert got and all(batch[k] == v for k, v in got.items()) and len(batch) - len(got) < 40
+
+
+def test_greedy_match_equals_the_plain_fold(spark):
+    import random
+
+    from labelwright.operators import evaluate as E
+    from labelwright.schema import TAG_COLUMNS
+
+    draw = random.Random(4)
+    code = lambda: draw.choice(["", "", "4600000000015", "4600000000022"])
+
+    def rows(n, first):
+        out = []
+        for i in range(n):
+            x, y = draw.choice([0, 40, 300, 900]), draw.choice([0, 30, 500])
+            r = dict.fromkeys(TAG_COLUMNS, "") | {"filename": "v", "barcode": code(), "qr_code_barcode": code(), "frame_timestamp": str(draw.choice([0, 2999, 3000, 6000, 9100, 30000])), "x_min": str(x), "y_min": str(y), "x_max": str(x + 100), "y_max": str(y + draw.choice([0, 80]))}
+            out.append(("v" if i % 3 else "w", first + i, *(r[c] for c in TAG_COLUMNS)))
+        return out
+
+    schema = lambda name: f"video string, {name} long, " + ", ".join(f"{c} string" for c in TAG_COLUMNS)
+    truth, pred = rows(40, 0), rows(35, 1000)
+    g, p = spark.createDataFrame(truth, schema("gt_id")), spark.createDataFrame(pred, schema("pred_id"))
+    at = {c: i + 2 for i, c in enumerate(TAG_COLUMNS)}
+
+    def pair(a, b):
+        box = [[float(r[at[c]]) for c in ("x_min", "y_min", "x_max", "y_max")] for r in (a, b)]
+        w, h = (max(0.0, min(box[0][k + 2], box[1][k + 2]) - max(box[0][k], box[1][k])) for k in (0, 1))
+        union = sum((b[2] - b[0]) * (b[3] - b[1]) for b in box) - w * h
+        over = w * h / union if union else 0.0
+        bonus = 0.5 if abs(float(a[at["frame_timestamp"]]) - float(b[at["frame_timestamp"]])) <= 3000 else 0.0
+        same = lambda c: a[at[c]] != "" and a[at[c]] == b[at[c]]
+        by, score = ("barcode", 100 + over) if same("barcode") else ("qr_code_barcode", 80 + over) if same("qr_code_barcode") else ("timestamp_bbox", 3 * over)
+        return (by, round(score + bonus, 9)) if by != "timestamp_bbox" or score + bonus > 0.3 else None
+
+    folded, best = set(), set()
+    for v in ("v", "w"):
+        used = set()
+        for a in (t for t in truth if t[0] == v):
+            found = sorted((-s[1], b[1], s[0]) for b in pred if b[0] == v and (s := pair(a, b)))
+            best |= {(v, a[1], found[0][1], found[0][2], -found[0][0])} if found else set()
+            free = [f for f in found if f[1] not in used]
+            if free:
+                used.add(free[0][1])
+                folded.add((v, a[1], free[0][1], free[0][2], -free[0][0]))
+    assert {tuple(r) for r in E.match(p, g).collect()} == folded and len(folded) > 20
+    assert {tuple(r) for r in E.best_candidates(E.match_candidates(p, g)).collect()} == best
+
+
+def test_parts_of_codes_count_every_key_once(spark):
+    from labelwright.operators import catalog as C
+
+    keys = ["4600000000015", "4600000000022", "1234567890128", "234567", "2000000000015"]
+    probes = ["46000000", "4600000000015", "34567890", "991234567890128", "4600000000015234567", "00000000", "000000001", "1234567", "", "2345679999"]
+    side = spark.createDataFrame([(k,) for k in keys], "key string").selectExpr("key", "named_struct('barcode', key) as entry")
+    rows = spark.createDataFrame(list(enumerate(probes)) + [(100 + i, p) for i, p in enumerate(probes)], "row_id long, probe string")
+    want = {}
+    for i, p in enumerate(probes):
+        hit = [k for k in keys if len(p) >= 8 and (k in p or p in k)]
+        if len(hit) == 1:
+            want |= {i: hit[0], 100 + i: hit[0]}
+    assert {r.row_id: r.entry.barcode for r in C.unique_parts(rows, side).collect()} == want and want
