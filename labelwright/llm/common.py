@@ -114,6 +114,33 @@ def give_back() -> None:
         pass
 
 
+def tidy(run):
+    """run, a function of an iterator of Arrow batches, between a clean start and memory given back: a worker that waits for its next task holds none."""
+
+    def tidied(batches):
+        forget_caches()
+        yield from run(batches)
+        give_back()
+
+    return tidied
+
+
+#: Texts that the JVM and a worker hold for one another at once, in bytes; a longer single text is a batch.
+BATCH_BYTES = 4 << 20
+_BATCH = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def cut_texts(df: DataFrame, folder: str, name: str) -> DataFrame:
+    """As cut, for plans that send whole texts to workers: batches are bounded by bytes, not by rows. The session's own setting is put back."""
+    conf = df.sparkSession.conf
+    was = conf.get(_BATCH)
+    conf.set(_BATCH, str(BATCH_BYTES))
+    try:
+        return cut(df, folder, name)
+    finally:
+        conf.set(_BATCH, was)
+
+
 def whole_text(text: str = "text"):
     """The text, with null read as the empty string."""
     return F.coalesce(F.col(text).cast("string"), F.lit(""))

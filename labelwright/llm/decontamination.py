@@ -23,7 +23,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut, forget_caches, fresh, placed, slices, whole_text, without, word_pieces, work_folder
+from .common import cut, cut_texts, forget_caches, fresh, placed, slices, tidy, whole_text, without, word_pieces, work_folder
 
 #: Byte to byte: A-Z to a-z, other characters up to 7F that are neither digits nor letters to a space.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -102,7 +102,6 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
         import pyarrow as pa
         from pyspark import TaskContext
 
-        forget_caches()
         part, count = TaskContext.get().partitionId(), 0
         for whole in batches:
             for batch in slices(whole, 1, shard_bytes):
@@ -125,7 +124,7 @@ def build_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", sha
                 count += 1
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"), "file", "row")
-    return slim.mapInArrow(run, "shard long, term string, n_pos long, body binary")
+    return slim.mapInArrow(tidy(run), "shard long, term string, n_pos long, body binary")
 
 
 def _near(list_, wanted, slop: int):
@@ -263,7 +262,7 @@ def _blocks(rows: Iterator, most: int) -> Iterator[list]:
 def written_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The index of docs, written to a work folder: searches of any benchmark can share it."""
     folder = work_folder(docs.sparkSession)
-    return cut(build_index(placed(docs.select(doc_id, text), folder), doc_id, text), folder, "index")
+    return cut_texts(build_index(placed(docs.select(doc_id, text), folder), doc_id, text), folder, "index")
 
 
 def find_contamination(docs: DataFrame, items: DataFrame, window: int = 10, slop: int = 2, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id", block_bytes: int = ITEM_BLOCK_BYTES, index: DataFrame | None = None) -> DataFrame:
@@ -309,7 +308,7 @@ def decontaminate(docs: DataFrame, items: DataFrame, window: int = 10, **names)
     file, row = fresh(docs.columns, "file", "row")
     at = placed(docs, folder, file, row)
     doc_id, text = names.get("doc_id", "doc_id"), names.get("text", "text")
-    index = cut(build_index(at.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))), folder, "index")
+    index = cut_texts(build_index(at.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(file).alias("file"), F.col(row).alias("row"))), folder, "index")
     found = find_contamination(docs, items, window, index=index, **names)
     bad = cut(found.where(F.size("spans") > 0).select("file", "row"), folder, "contaminated")
     return without(at, bad, file, row)

@@ -25,7 +25,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import cut, forget_caches, slices, small, whole_text, word_pieces
+from .common import cut, cut_texts, slices, small, tidy, whole_text, word_pieces
 from .components import components
 
 LARGE = 48
@@ -133,7 +133,6 @@ def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
         import numpy as np
         import pyarrow as pa
 
-        forget_caches()
         parts, held, known = [np.zeros(0, np.int64)], 0, set()
         names = ["doc_id", "fp", "file", "row", "c"]
 
@@ -158,7 +157,7 @@ def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
         yield counted()
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"), "file", "row")
-    return slim.mapInArrow(run, "doc_id long, fp long, file long, row long, c long")
+    return slim.mapInArrow(tidy(run), "doc_id long, fp long, file long, row long, c long")
 
 
 def prefixes(docs: DataFrame, hot, shingle: int = 5, text: str = "text") -> DataFrame:
@@ -172,7 +171,6 @@ def prefixes(docs: DataFrame, hot, shingle: int = 5, text: str = "text") -> Data
         import numpy as np
         import pyarrow as pa
 
-        forget_caches()
         last, rank = shared.value
         known: set = set()
         for whole in batches:
@@ -194,7 +192,7 @@ def prefixes(docs: DataFrame, hot, shingle: int = 5, text: str = "text") -> Data
                 n = each([len(x) for x in new.values()]).cast(pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(flat), each(list(new)), n, pa.array(at), pa.array(is_hot), each(s[:, 0]), each(s[:, 1])], ["key", "fp", "n", "at", "hot", "s1", "s2"])
 
-    return docs.select(whole_text(text).alias("t")).mapInArrow(run, "key long, fp long, n int, at int, hot boolean, s1 long, s2 long")
+    return docs.select(whole_text(text).alias("t")).mapInArrow(tidy(run), "key long, fp long, n int, at int, hot boolean, s1 long, s2 long")
 
 
 def whole_sets(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFrame:
@@ -204,7 +202,6 @@ def whole_sets(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFra
         import numpy as np
         import pyarrow as pa
 
-        forget_caches()
         for whole in batches:
             for batch in slices(whole, 0, 1 << 20):
                 sets = shingle_sets(batch.column(0).cast(pa.binary()).to_pylist(), shingle)
@@ -212,7 +209,7 @@ def whole_sets(docs: DataFrame, shingle: int = 5, text: str = "text") -> DataFra
                 n = pa.array([len(s) for s in sets], pa.int32())
                 yield pa.RecordBatch.from_arrays([pa.array(set_ids(sets), pa.int64()), n, pa.ListArray.from_arrays(offsets, pa.array(np.concatenate(sets).astype(np.int32)))], ["fp", "n", "hashes"])
 
-    return docs.select(whole_text(text).alias("t")).mapInArrow(run, "fp long, n int, hashes array<int>")
+    return docs.select(whole_text(text).alias("t")).mapInArrow(tidy(run), "fp long, n int, hashes array<int>")
 
 
 def _distance(a: str = "", b: str = "2") -> Column:
@@ -246,7 +243,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, folder: str,
     asked = pairs.select(F.col("a").alias("fp")).union(pairs.select("b")).distinct()
     asked = cut(places.join(small(cut(asked, folder, f"{name}-asked")), "fp").select(F.col("file").alias("_f"), F.col("row").alias("_r")), folder, f"{name}-places")
     own = docs.join(small(asked), (F.col("file") == F.col("_f")) & (F.col("row") == F.col("_r")), "left_semi")
-    sets = cut(whole_sets(own, shingle, text), folder, f"{name}-sets")
+    sets = cut_texts(whole_sets(own, shingle, text), folder, f"{name}-sets")
     a, b = (sets.select(F.col("fp").alias(c), F.col("n").alias(f"n{c}"), F.col("hashes").alias(f"h{c}")) for c in "ab")
     # b's set travels to a's: one shuffle of either side
     met = b.join(small(pairs), "b").join(a, "a")
@@ -255,7 +252,7 @@ def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, folder: str,
 
 def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, file, row of every row of docs; edges (a, b) between numbers fp that connect what pairs of similarity 4/5 connect). docs have places (file, row)."""
-    seen = cut(numbered(docs, shingle, doc_id, text), folder, "numbered")
+    seen = cut_texts(numbered(docs, shingle, doc_id, text), folder, "numbered")
     made = seen.where("c is null").drop("c")
     places = made.groupBy("fp").agg(F.min(F.struct("file", "row")).alias("p")).select("fp", "p.*")
     # only the order of hashes depends on these: whatever the order, no pair is missed
@@ -267,7 +264,7 @@ def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id"
     own = Window.partitionBy("key", "salt")
     columns = ["key", "fp", "n", "at", "s1", "s2"]
     shared = posted.withColumns({"lo": F.min("fp").over(own), "hi": F.max("fp").over(own)}).where("hot or lo <> hi").select("salt", *columns).distinct()
-    shared = cut(shared.drop("salt"), folder, "shared")
+    shared = cut_texts(shared.drop("salt"), folder, "shared")
     size = cut(shared.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), folder, "sizes")
     few = shared.join(size.where(F.col("c") <= LARGE), "key").select(columns)
     pairs = cut(_met(few.join(_second(few), "key").where(F.col("fp") < F.col("fp2"))), folder, "few")

@@ -21,7 +21,7 @@ from itertools import chain
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import cut, give_back, keep_cache, slices, whole_text, work_folder
+from .common import cut_texts, give_back, keep_cache, slices, whole_text, work_folder
 
 NO_ID = -(2**63)
 CACHE_ENTRIES = 1_500_000
@@ -176,7 +176,7 @@ def write_token_files(docs: DataFrame, path: str, folder: str, doc_id: str = "do
                 out.write(content.tobytes())
         yield pa.RecordBatch.from_pydict({"part": pa.array([part], pa.int64()), "file": [name], "n_docs": pa.array([sum(map(len, ids))], pa.int64()), "n_ids": pa.array([total], pa.int64())})
 
-    written = cut(ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), folder, "written")
+    written = cut_texts(ordered.mapInArrow(write, "part long, file string, n_docs long, n_ids long"), folder, "written")
     # one row a file: the prefix sum over them is small however large the corpus is
     sizes = sorted((r.part, r.file, r.n_docs, r.n_ids) for r in written.collect())
     base, rows = 0, []
