@@ -13,6 +13,8 @@ from labelwright.llm import decontamination, language_id, mixing, simhash, token
 from labelwright.llm.common import placed, ship, table, work_folder
 from labelwright.sources.work import clear, mark
 
+#: Pieces that a worker of the last stage keeps encoded: its executor's JVM has grown in four stages by then.
+TOKEN_CACHE = 200_000
 #: SQL can express neither XXH64 fingerprints nor the tokenizer.
 ORACLE_SQL = None
 
@@ -45,7 +47,7 @@ def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
     ship(spark)
     laid = placed(docs.select("doc_id", "text"), work_folder(spark), "file", "row", named=True)
-    return token_files.token_files(laid, public_tokenizers.path("byte_bpe_50k.json"), order=["file", "row"])
+    return token_files.token_files(laid, public_tokenizers.path("byte_bpe_50k.json"), order=["file", "row"], cache_entries=TOKEN_CACHE)
 
 
 STAGES = [

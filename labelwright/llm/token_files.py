@@ -37,10 +37,10 @@ _worker: dict = keep_cache({})
 
 
 class _Pieces:
-    """The ids of pieces that follow `lead`, as bytes; at most CACHE_ENTRIES and those of the batch at hand."""
+    """The ids of pieces that follow `lead`, as bytes; at most `most` and those of the batch at hand."""
 
     def __init__(self, lead: str):
-        self.lead, self.known, self.tails = lead, {}, {}
+        self.lead, self.known, self.tails, self.most = lead, {}, {}, CACHE_ENTRIES
 
     def _encode(self, words: list[str], lead: str, into: dict, tokenizer, kind: str) -> None:
         import numpy as np
@@ -61,9 +61,9 @@ class _Pieces:
         missing = needed - self.known.keys()
         if not missing:
             return missing
-        if len(self.known) + len(missing) > CACHE_ENTRIES:
+        if len(self.known) + len(missing) > self.most:
             self.known = {k: v for k, v in self.known.items() if k in needed}
-        if len(self.tails) > CACHE_ENTRIES // 16:
+        if len(self.tails) > self.most // 16:
             self.tails = {}
         split = [(w, *m.groups()) for w in missing if (m := _TAIL.fullmatch(w)) and "<|" not in w]
         whole = missing.difference(w for w, _, _ in split)
@@ -95,7 +95,7 @@ def id_width(path: str) -> int:
     return 2 if _open(path)["size"] <= 1 << 16 else 4
 
 
-def encode_texts(texts: list[str], path: str, width: int) -> list[bytes]:
+def encode_texts(texts: list[str], path: str, width: int, cache_entries: int = CACHE_ENTRIES) -> list[bytes]:
     """The ids of each text as little-endian integers. Pieces of a text that start at a space are encoded once and kept.
 
     Only for byte-level tokenizers without a prefix space: their pre-tokens never cross the split used here.
@@ -103,6 +103,7 @@ def encode_texts(texts: list[str], path: str, width: int) -> list[bytes]:
     import gc
 
     w = _open(path)
+    w["first"].most = w["later"].most = cache_entries
     kind = f"<u{width}"
     # no cycles are made here, and each collection would walk the caches and all the lists
     was = gc.isenabled()
@@ -132,11 +133,12 @@ def _encode_texts(texts: list[str], w: dict, kind: str) -> list[bytes]:
     return out
 
 
-def write_token_files(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text: str = "text", order: list[str] | None = None, end_id: int | None = 0, parts: int | None = None) -> DataFrame:
+def write_token_files(docs: DataFrame, path: str, folder: str, doc_id: str = "doc_id", text: str = "text", order: list[str] | None = None, end_id: int | None = 0, parts: int | None = None, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Encode every text, in the order of `order` (doc_id if none), to a file set in `folder`; returns its manifest.
 
     A null text is empty (only its end id); null doc_ids come first; equal keys are dealt out and ordered by
     a hash of the text, then by the text, so a repeated doc_id can't fill one part. Repeated rows stay.
+    cache_entries: pieces that a worker keeps encoded, of about 200 bytes each; the ids don't depend on it.
     """
     spark = docs.sparkSession
     width = id_width(path)
@@ -164,8 +166,8 @@ def write_token_files(docs: DataFrame, path: str, folder: str, doc_id: str = "do
         total = 0
         with store.open_output_stream(f"{base}/{name}.bin", buffer_size=1 << 20) as out:
             for whole in batches:
-                for batch in slices(whole, 1, 4 << 20):
-                    coded = [x + tail for x in encode_texts(batch.column(1).to_pylist(), path, width)]
+                for batch in slices(whole, 1, 1 << 20):
+                    coded = [x + tail for x in encode_texts(batch.column(1).to_pylist(), path, width, cache_entries)]
                     out.write(b"".join(coded))
                     e = total + np.cumsum([len(x) // width for x in coded])
                     total = int(e[-1])
@@ -246,9 +248,9 @@ def read_token_files(spark: SparkSession, manifest: DataFrame, folder: str, widt
     return manifest.repartitionByRange(n, "part").mapInArrow(read, schema)
 
 
-def token_files(docs: DataFrame, path: str, order: list[str] | None = None, end_id: int | None = 0) -> DataFrame:
+def token_files(docs: DataFrame, path: str, order: list[str] | None = None, end_id: int | None = 0, cache_entries: int = CACHE_ENTRIES) -> DataFrame:
     """Write docs as a file set in a new shared folder and read it back; see the two functions above."""
     spark = docs.sparkSession
     folder = work_folder(spark)
-    manifest = write_token_files(docs, path, folder, order=order, end_id=end_id)
+    manifest = write_token_files(docs, path, folder, order=order, end_id=end_id, cache_entries=cache_entries)
     return read_token_files(spark, manifest, folder, id_width(path))

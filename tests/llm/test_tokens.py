@@ -87,3 +87,32 @@ def test_manifest_bases_are_prefix_sums(spark, tmp_path):
         at += r.n_ids
         assert np.memmap(f"{tmp_path}/set/{r.file}.bin", "<u2", "r").size == r.n_ids
         assert np.fromfile(f"{tmp_path}/set/{r.file}.idx", "<u8")[-1] == r.n_ids
+
+
+def test_ids_do_not_depend_on_the_cache_size():
+    import public_tokenizers
+
+    from labelwright.llm.token_files import encode_texts
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    texts = [" ".join(f"w{i * j}x, don't" for i in range(40)) + "\n\nend " for j in range(30)]
+    whole = encode_texts(texts, path, 2)
+    assert [encode_texts([t], path, 2, cache_entries=8)[0] for t in texts] == whole
+    assert encode_texts(texts, path, 2) == whole
+
+
+def test_cut_texts_puts_the_setting_back(spark, tmp_path):
+    from labelwright.llm.common import BATCH_BYTES, cut_texts
+
+    def sizes(batches):
+        import pyarrow as pa
+
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.num_rows], "size": [b.nbytes]})
+
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    was = spark.conf.get(key)
+    docs = spark.range(0, 9000, 1, 1).selectExpr("repeat('x', 2000) AS t")
+    rows = cut_texts(docs.mapInArrow(sizes, "n long, size long"), f"file://{tmp_path}", "sizes").collect()
+    assert sum(r.n for r in rows) == 9000 and max(r.size for r in rows) < BATCH_BYTES + 100_000
+    assert spark.conf.get(key) == was
