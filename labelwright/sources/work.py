@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 from functools import lru_cache
@@ -41,10 +42,15 @@ def mark() -> int:
 
 
 def clear(spark: SparkSession, since: int = 0, keep: tuple[str, ...] = ()) -> None:
-    """Delete the work folders made since a mark, but for those to keep: tables that were cut there can't be read any more."""
+    """Delete the work folders made since a mark, but for those to keep: tables that were cut there can't be read any more.
+
+    Spark deletes shuffle files once the driver has collected the plans they belong to, so it is asked to collect.
+    """
     jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
     gone = [f for f in _made[since:] if f not in keep]
     for folder in gone:
         path = jvm.org.apache.hadoop.fs.Path(folder)
         path.getFileSystem(conf).delete(path, True)
     _made[since:] = [f for f in _made[since:] if f in keep]
+    gc.collect()
+    jvm.System.gc()
