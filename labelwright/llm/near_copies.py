@@ -8,13 +8,14 @@ under 0.8 is linked. For that sets travel as 32-bit hashes: of two sets of 300 s
 
 No key of few bits is equal in all pairs that far apart, as the 64-bit links of `simhash` have it. So pairs meet
 on shingles: in any common order of the hashes, two sets of similarity 4/5 share a hash among the first
-|S| - ceil(4|S|/5) + 1 of each, and where it stands bounds the overlap. Hashes that more than `HOT` sets share come last in the order, the
+|S| - ceil(4|S|/5) + 1 of each, and where it stands bounds the overlap, hashes before it that no other set has left out. Hashes that more than `HOT` sets share come last in the order, the
 most frequent ones at the end, so a common line or passage makes no pairs.
 
 A hash that more than `LARGE` sets share (a large group of copies) has pivots: `CENTRES` of its sets, whose
-distances to all the others are written in a table. Sets are compared with the pivots first. Only those that these
+distances to all the others are written in a table, and the set in their middle. Sets are compared with the pivots first. Only those that these
 links leave outside the hash's largest component meet the others, pairs whose distances to any pivot differ by
-over `RADIUS` are discarded, and so are those whose fingerprints do. Of the pairs of small groups, too, each set's
+over `RADIUS` are discarded, and so are those whose fingerprints do, or whose odd sketches (which hash buckets
+hold an odd number of a set's hashes) show that the sets differ in too many hashes; that bound is exact. Of the pairs of small groups, too, each set's
 nearest is verified first, and after it only pairs that are not connected yet.
 """
 
@@ -28,11 +29,16 @@ from pyspark.sql import functions as F
 from .common import cut, cut_texts, slices, small, tidy, whole_text, word_pieces
 from .components import components
 
+#: What is known of a set at one of its keys.
+SIDE = ("fp", "n", "at", "live", "s1", "s2")
 LARGE = 48
 CENTRES = 3
 HOT = 48
 MOST_HOT = 200_000
 RADIUS, SMALL_RADIUS, SMALL_SET = 40, 48, 9
+#: Words of a sketch that tells how many hashes two sets differ in at least; it says little of sets that differ in over 64 x ODD hashes.
+ODD = 4
+ODDS = [f"o{i}" for i in range(ODD)]
 #: Hashes that a task holds to count them; a worker's memory is about 40 bytes for each.
 HELD = 1 << 20
 #: Tasks over which a hot hash's sets are dealt when hashes of one set only are sought.
@@ -126,21 +132,39 @@ def wide_fingerprints(sets: list):
     return out
 
 
+def odd_sketches(sets: list):
+    """ODD signed words of each set: of 64 x ODD buckets of hashes, a bit is 1 if an odd number of the set's hashes fall in its bucket.
+
+    A bucket in which the bits of two sets differ holds a hash that only one of them has, so the sets differ in at
+    least as many hashes as their sketches in bits, however large they are.
+    """
+    import numpy as np
+
+    width, out = 64 * ODD, np.zeros((len(sets), ODD), "<i8")
+    for at in range(0, len(sets), 1024):
+        part = sets[at : at + 1024]
+        flat = np.concatenate([(s.view(np.uint64) >> np.uint64(20)) % np.uint64(width) for s in part]).astype(np.int64)
+        own = np.repeat(np.arange(len(part)), [len(s) for s in part])
+        odd = np.bincount(own * width + flat, minlength=len(part) * width).reshape(len(part), width) & 1
+        out[at : at + 1024] = np.packbits(odd.astype(np.uint8), axis=1, bitorder="little").view("<i8")
+    return out
+
+
 def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """doc_id, fp (the set's number), file, row of every row with c null; besides, rows with a hash fp and in how many (c) of its different sets a task saw it."""
+    """doc_id, fp (the set's number), file, row, o0.. (odd sketch) of every row with c null; besides, rows with a hash fp and in how many (c) of its different sets a task saw it."""
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         parts, held, known = [np.zeros(0, np.int64)], 0, set()
-        names = ["doc_id", "fp", "file", "row", "c"]
+        names = ["doc_id", "fp", "file", "row", "c", *ODDS]
 
         def counted():
             keys, c = np.unique(np.concatenate(parts), return_counts=True)
             keys, c = keys[c > 2], c[c > 2]
             null = pa.nulls(len(keys), pa.int64())
-            return pa.RecordBatch.from_arrays([null, pa.array(keys), null, null, pa.array(c.astype(np.int64))], names)
+            return pa.RecordBatch.from_arrays([null, pa.array(keys), null, null, pa.array(c.astype(np.int64)), *[null] * ODD], names)
 
         for whole in batches:
             for batch in slices(whole, 1, 1 << 20):
@@ -150,14 +174,14 @@ def numbered(docs: DataFrame, shingle: int = 5, doc_id: str = "doc_id", text: st
                 known.update(new)
                 parts.extend(new.values())
                 held += sum(map(len, new.values()))
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), batch.column(2), batch.column(3), pa.nulls(len(sets), pa.int64())], names)
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(ids, pa.int64()), batch.column(2), batch.column(3), pa.nulls(len(sets), pa.int64()), *map(pa.array, odd_sketches(sets).T.copy())], names)
                 if held > HELD:
                     yield counted()
                     parts, held, known = parts[:1], 0, set()
         yield counted()
 
     slim = docs.select(F.col(doc_id).cast("long").alias("doc_id"), whole_text(text).alias("t"), "file", "row")
-    return slim.mapInArrow(tidy(run), "doc_id long, fp long, file long, row long, c long")
+    return slim.mapInArrow(tidy(run), "doc_id long, fp long, file long, row long, c long" + "".join(f", {o} long" for o in ODDS))
 
 
 def prefixes(docs: DataFrame, hot, shingle: int = 5, text: str = "text") -> DataFrame:
@@ -222,13 +246,17 @@ def _radius() -> Column:
 
 
 def _possible() -> Column:
-    """The overlap that the places of a shared key leave possible is enough: 9 x overlap >= 4 x (n + n2) is similarity >= 4/5."""
-    most = F.least("at", "at2") + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
+    """The overlap that the places of a shared key leave possible is enough: 9 x overlap >= 4 x (n + n2) is similarity >= 4/5.
+
+    What two sets share before a key that both have among their first hashes is among the first hashes of both, so
+    of the hashes up to the key only those count that more than one set has (live).
+    """
+    most = F.least("live", "live2") + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))
     return 9 * most >= 4 * (F.col("n") + F.col("n2"))
 
 
 def _second(shared: DataFrame, *more: str) -> DataFrame:
-    return shared.select("key", *(F.col(c).alias(f"{c}2") for c in ("fp", "n", "at", "s1", "s2", *more)))
+    return shared.select("key", *(F.col(c).alias(f"{c}2") for c in (*SIDE, *more)))
 
 
 def _met(pairs: DataFrame) -> DataFrame:
@@ -253,7 +281,8 @@ def _verified(pairs: DataFrame, docs: DataFrame, places: DataFrame, folder: str,
 def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id", text: str = "text") -> tuple[DataFrame, DataFrame]:
     """(doc_id, fp, file, row of every row of docs; edges (a, b) between numbers fp that connect what pairs of similarity 4/5 connect). docs have places (file, row)."""
     seen = cut_texts(numbered(docs, shingle, doc_id, text), folder, "numbered")
-    made = seen.where("c is null").drop("c")
+    sketched = seen.where("c is null")
+    made = sketched.drop("c", *ODDS)
     places = made.groupBy("fp").agg(F.min(F.struct("file", "row")).alias("p")).select("fp", "p.*")
     # only the order of hashes depends on these: whatever the order, no pair is missed
     often = seen.where("c is not null").groupBy("fp").agg(F.sum("c").alias("c")).where(F.col("c") > HOT).orderBy(F.desc("c"), "fp").limit(MOST_HOT)
@@ -262,9 +291,10 @@ def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id"
     salt = F.when(F.col("hot"), F.pmod("fp", F.lit(SALTS))).otherwise(0)
     posted = prefixes(docs, hot, shingle, text).withColumn("salt", salt).repartition("key", "salt")
     own = Window.partitionBy("key", "salt")
-    columns = ["key", "fp", "n", "at", "s1", "s2"]
-    shared = posted.withColumns({"lo": F.min("fp").over(own), "hi": F.max("fp").over(own)}).where("hot or lo <> hi").select("salt", *columns).distinct()
-    shared = cut_texts(shared.drop("salt"), folder, "shared")
+    columns = ["key", *SIDE]
+    shared = posted.withColumns({"lo": F.min("fp").over(own), "hi": F.max("fp").over(own)}).where("hot or lo <> hi").select("salt", "key", "fp", "n", "at", "s1", "s2").distinct()
+    shared = shared.withColumn("live", F.row_number().over(Window.partitionBy("fp").orderBy("at")))
+    shared = cut_texts(shared.select(columns), folder, "shared")
     size = cut(shared.groupBy("key").agg(F.count("*").alias("c")).where("c > 1"), folder, "sizes")
     few = shared.join(size.where(F.col("c") <= LARGE), "key").select(columns)
     pairs = cut(_met(few.join(_second(few), "key").where(F.col("fp") < F.col("fp2"))), folder, "few")
@@ -276,7 +306,7 @@ def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id"
         # the pivots of each key, and the table of distances to them
         pivots = large.select("key")
         for r in range(CENTRES):
-            one = large.groupBy("key").agg(F.min_by(F.struct("fp", "n", "at", "s1", "s2"), F.xxhash64("fp", F.lit(r))).alias(f"p{r}"))
+            one = large.groupBy("key").agg(F.min_by(F.struct(*SIDE), F.xxhash64("fp", F.lit(r))).alias(f"p{r}"))
             pivots = one if not r else pivots.join(one, "key")
         pivots = cut(pivots, folder, "pivots")
         table = large.join(small(pivots), "key")
@@ -284,20 +314,29 @@ def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id"
             d = sum((F.bit_count(F.col(s).bitwiseXOR(F.col(f"p{r}.{s}"))) for s in ("s1", "s2")), F.lit(0))
             table = table.withColumn(f"d{r}", d)
         table = cut(table, folder, "distances")
-        for r in range(CENTRES):
-            beside = table.select(*columns, *(F.col(f"p{r}.{c}").alias(f"{c}2") for c in ("fp", "n", "at", "s1", "s2")))
+        # copies of one text are nearer to it than to each other: of all sets the one in the middle of the pivots is a pivot, too
+        middle = F.struct(sum((F.col(f"d{r}") for r in range(CENTRES)), F.lit(0)), "fp")
+        middles = cut(table.groupBy("key").agg(F.min_by(F.struct(*SIDE), middle).alias("middle")), folder, "middles")
+        table = table.join(small(middles), "key")
+        for p in (*(f"p{r}" for r in range(CENTRES)), "middle"):
+            beside = table.select(*columns, *(F.col(f"{p}.{c}").alias(f"{c}2") for c in SIDE))
             first = first.union(_met(beside.where("fp <> fp2")).select("a", "b"))
     known = _verified(first, docs, places, folder, "first", shingle, text)
     roots = components(known, f"{folder}/nearest")
     ra, rb = (roots.select(F.col("node").alias(c), F.col("root").alias(f"r{c}")) for c in "ab")
     rest = pairs.select("a", "b")
     if crowded:
-        at = cut(table.select(*columns, *(f"d{r}" for r in range(CENTRES))).join(small(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp")), folder, "members")
+        sketches = sketched.join(small(cut(table.select("fp").distinct(), folder, "crowded")), "fp").groupBy("fp").agg(*(F.first(o).alias(o) for o in ODDS))
+        sketches = cut(sketches, folder, "sketches")
+        at = cut(table.select(*columns, *(f"d{r}" for r in range(CENTRES))).join(small(roots.withColumnRenamed("node", "fp")), "fp", "left").withColumn("root", F.coalesce("root", "fp")).join(small(sketches), "fp"), folder, "members")
         most = at.groupBy("key", "root").agg(F.count("*").alias("c")).groupBy("key").agg(F.max_by("root", F.struct("c", "root")).alias("top"))
         outside = at.join(small(cut(most, folder, "tops")), "key").where("root <> top").drop("top")
-        met = outside.join(_second(at, "root", *(f"d{r}" for r in range(CENTRES))), "key").where("root <> root2")
+        met = outside.join(_second(at, "root", *(f"d{r}" for r in range(CENTRES)), *ODDS), "key").where("root <> root2")
         for r in range(CENTRES):
             met = met.where(F.abs(F.col(f"d{r}") - F.col(f"d{r}2")) <= _radius())
+        # a similarity of at least 4/5 is at most (n + n2) / 9 hashes that only one of the two has
+        differing = sum((F.bit_count(F.col(o).bitwiseXOR(F.col(f"{o}2"))) for o in ODDS), F.lit(0))
+        met = met.where(9 * differing <= F.col("n") + F.col("n2"))
         rest = rest.union(_met(met).select("a", "b"))
     apart = rest.join(small(ra), "a", "left").join(small(rb), "b", "left").where(F.coalesce(F.col("ra") != F.col("rb"), F.lit(True))).select("a", "b")
     return made, known.union(_verified(apart.join(known, ["a", "b"], "left_anti"), docs, places, folder, "rest", shingle, text))

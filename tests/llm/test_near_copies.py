@@ -1,5 +1,6 @@
 import random
 
+import numpy as np
 import pytest
 
 import corpus_pipeline
@@ -120,3 +121,42 @@ def test_one_text_for_all_rows_and_rows_without_ids(spark):
     kept = S.keep_one_similar(docs).collect()
     assert [r.doc_id for r in kept] == [1] and S.keep_one(docs).collect()[0].doc_id == 1
     assert S.keep_one_similar(docs.limit(0)).count() == 0 and {r.component_id for r in S.near_duplicates(docs).collect()} == {1}
+
+
+def test_sketches_differ_in_no_more_bits_than_the_sets_in_hashes():
+    draw = random.Random(5)
+    sets, tight = [[], [], [7]], 0
+    for _ in range(60):
+        own = {draw.getrandbits(64) for _ in range(draw.choice([1, 9, 150, 3000]))}
+        sets += [own, {draw.getrandbits(64) if draw.random() < 0.1 else h for h in own}]
+    arrays = [np.array(sorted(s), np.uint64).view(np.int64) for s in sets]
+    sketches = N.odd_sketches(arrays)
+    assert sketches.shape == (len(sets), N.ODD)
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets):
+            bits = sum(((int(x) ^ int(y)) & (2**64 - 1)).bit_count() for x, y in zip(sketches[i], sketches[j], strict=True))
+            assert bits <= len(set(a) ^ set(b))
+            tight += 0 < len(set(a) ^ set(b)) <= bits + 4
+    assert tight > 60
+
+
+def test_a_group_around_a_text_makes_few_pairs(spark, monkeypatch):
+    """Copies of one text with up to four words changed: many are near copies of the text only, and not of each other."""
+    draw = random.Random(9)
+    base = [f"w{draw.randrange(9000)}" for _ in range(150)]
+    t = [" ".join(base)]
+    for i in range(300):
+        copy = list(base)
+        for at in draw.sample(range(150), draw.randint(1, 4)):
+            copy[at] = f"n{i}-{at}"
+        t.append(" ".join(copy))
+    made, possible = [], N._verified
+    monkeypatch.setattr(N, "_verified", lambda pairs, *a: (made.append(pairs.count()), possible(pairs, *a))[1])
+    docs = frame(spark, [(i, x, "en", "a", len(x)) for i, x in enumerate(t)])
+    rows = S.similar(docs).collect()
+    got, want = {r.doc_id: r.component_id for r in rows}, groups(t)
+    first = {}
+    for i, g in enumerate(want):
+        assert got[i] == got[first.setdefault(g, i)]
+    assert len(set(got.values())) == len(set(want))
+    assert sum(made) < 20 * len(t)
