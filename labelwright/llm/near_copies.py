@@ -337,6 +337,8 @@ def found(docs: DataFrame, folder: str, shingle: int = 5, doc_id: str = "doc_id"
         # a similarity of at least 4/5 is at most (n + n2) / 9 hashes that only one of the two has
         differing = sum((F.bit_count(F.col(o).bitwiseXOR(F.col(f"{o}2"))) for o in ODDS), F.lit(0))
         met = met.where(9 * differing <= F.col("n") + F.col("n2"))
+        # two such sets meet at the first key they share, too, and before that they share nothing
+        met = met.where(9 * (1 + F.least(F.col("n") - F.col("at"), F.col("n2") - F.col("at2"))) >= 4 * (F.col("n") + F.col("n2")))
         rest = rest.union(_met(met).select("a", "b"))
     apart = rest.join(small(ra), "a", "left").join(small(rb), "b", "left").where(F.coalesce(F.col("ra") != F.col("rb"), F.lit(True))).select("a", "b")
     return made, known.union(_verified(apart.join(known, ["a", "b"], "left_anti"), docs, places, folder, "rest", shingle, text))
