@@ -90,24 +90,37 @@ def match_frames(frames: list[list[tuple]], least: float = 0.25, lost: int = 0,
     lost: for how many frames without a match a track is remembered (0: the frame before only; more: J13, T3).
     """
 
-    def joint(a, b):
-        w, h = max(0.0, min(a[2], b[2]) - max(a[0], b[0])), max(0.0, min(a[3], b[3]) - max(a[1], b[1]))
-        u = max(0.0, a[2] - a[0]) * max(0.0, a[3] - a[1]) + max(0.0, b[2] - b[0]) * max(0.0, b[3] - b[1]) - w * h
-        return w * h / u if u > 0 else 0.0
+    import numpy as np
 
+    size = lambda b: np.maximum(0.0, b[2] - b[0]) * np.maximum(0.0, b[3] - b[1])
     known: dict = {}
     out = []
     for number, boxes in enumerate(frames):
-        taken, ids = set(), []
+        # the tracks that may go on, from left to right; their place among the known decides between equals
+        old = [(t, b) for t, (b, seen) in known.items() if number - seen <= lost + 1]
+        sides = np.array([b for _, b in old], dtype=float).reshape(-1, 4).T
+        by_left = np.argsort(sides[0], kind="stable")
+        sides, free = sides[:, by_left], np.ones(len(old), bool)
+        areas, widest = size(sides), float((sides[2] - sides[0]).max()) if old else 0.0
+        ids = []
         for box in boxes:
-            best, near = None, least
-            for t, (old, seen) in known.items():
-                if t not in taken and number - seen <= lost + 1 and (v := joint(old, box)) >= near and (best is None or v > near):
-                    best, near = t, v
+            # what doesn't overlap has 0, which a limit over 0 leaves out
+            lo, hi = (np.searchsorted(sides[0], box[0] - widest, "left"), np.searchsorted(sides[0], box[2], "right")) if least > 0 else (0, len(old))
+            best = None
+            if hi > lo and free[lo:hi].any():
+                s = sides[:, lo:hi]
+                both = np.maximum(0.0, np.minimum(s[2], box[2]) - np.maximum(s[0], box[0])) * np.maximum(0.0, np.minimum(s[3], box[3]) - np.maximum(s[1], box[1]))
+                union = areas[lo:hi] + max(0.0, box[2] - box[0]) * max(0.0, box[3] - box[1]) - both
+                share = np.where(free[lo:hi], np.divide(both, union, out=np.zeros_like(both), where=union > 0), -1.0)
+                if (top := share.max()) >= least:
+                    ties = np.nonzero(share == top)[0] + lo
+                    best = int(ties[np.argmin(by_left[ties])])
             if best is None:
-                best, next_id = next_id, next_id + 1
-            taken.add(best)
-            ids.append(best)
+                ids.append(next_id)
+                next_id += 1
+            else:
+                free[best] = False
+                ids.append(old[by_left[best]][0])
         known = {t: v for t, v in known.items() if number - v[1] <= lost} | {t: (b, number) for t, b in zip(ids, boxes, strict=True)}
         out.append(ids)
     return out
