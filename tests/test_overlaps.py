@@ -65,3 +65,26 @@ def test_observations_are_no_single_method(spark, sf):
     plan = K.observations(spark, sf)._jdf.queryExecution().executedPlan().toString()
     wide = next(line for line in plan.splitlines() if "AS print_datetime" in line or "AS filename" in line)
     assert "lambdafunction" in wide
+
+
+def test_near_pairs_equal_those_of_all_pairs_and_ask_few_cells(spark):
+    from labelwright.operators.dedup import near_pairs
+    from labelwright.schema import TAG_COLUMNS
+
+    draw, made = np.random.default_rng(3), []
+    for i in range(240):
+        x, y, w, h = (float(v) for v in (draw.integers(0, 30) * 37, draw.integers(0, 20) * 41, draw.choice([150, 260, 390, 420, 700]), draw.choice([150, 200, 410, 600])))
+        made.append((i, dict.fromkeys(TAG_COLUMNS, "") | {"filename": "v", "x_min": x, "y_min": y, "x_max": x + w, "y_max": y + h, "frame_timestamp": float(draw.integers(0, 16) * 250)}))
+    places = ("x_min", "y_min", "x_max", "y_max", "frame_timestamp")
+    df = spark.createDataFrame([(i, *(r[c] for c in TAG_COLUMNS)) for i, r in made], "row_id long, " + ", ".join(f"{c} {'double' if c in places else 'string'}" for c in TAG_COLUMNS))
+    want = set()
+    for i, a in made:
+        for j, b in made[i + 1 :]:
+            w, h = (max(0.0, min(a[f"{c}_max"], b[f"{c}_max"]) - max(a[f"{c}_min"], b[f"{c}_min"])) for c in "xy")
+            area = sum((r["x_max"] - r["x_min"]) * (r["y_max"] - r["y_min"]) for r in (a, b))
+            if abs(a["frame_timestamp"] - b["frame_timestamp"]) <= 1500 and w * h / (area - w * h) >= 0.6:
+                want.add((i, j, "box"))
+    out = near_pairs(df)
+    assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 20
+    asked = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(" in line]
+    assert asked and not any("-1, 0, 1" in line or "transform" in line for line in asked)
