@@ -35,3 +35,14 @@ def test_text_keeps_its_marks(spark):
 def test_ceiling_reads_written_scores_without_json(spark, sf):
     p = plan(Q.QUERIES["a15_a16_ceiling_and_near_misses"](spark, sf))
     assert "to_json" not in p and "Join" not in p
+
+
+def test_a_name_read_many_times_is_cleaned_once(spark):
+    from labelwright.operators import vote as V
+
+    rows = [(1, 1, 1.0, "Milk 2,5% fresh"), (1, 2, 0.5, "milk 12345678 fresh"), (1, 3, 1.0, "Milk 2,5% fresh"), (2, 1, 1.0, None), (2, 2, 1.0, ""), (2, 3, 1.0, "12.03.2026 10:20"), (3, 1, 1.0, None), (3, 2, 0.75, "Milk 2,5% fresh")]
+    out = V.choose_names(spark.createDataFrame(rows, "track long, cand long, weight double, product_name string"), ["track"])
+    got = {r.track: (r.value, round(r.confidence, 6)) for r in out.collect()}
+    assert got.keys() == {1, 3} and got[1][0] == got[3][0] == "Milk 2,5% fresh" and 0 < got[1][1] < 0.5 and got[3][1] == 1.0
+    text = plan(out)
+    assert "Join" in text and text.index("Join") < text.index("штрих") and "Aggregate [_name" in text
