@@ -33,6 +33,10 @@ _SPLIT = re.compile(r" (?=\S)")
 _OTHER_SPACE = re.compile(r" (?!\S)")
 #: Letters and the marks after them are separate pre-tokens (an apostrophe could begin a contraction).
 _TAIL = re.compile("([A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\\[-`{-~]+)")
+#: What such a pre-token of marks may end in: few pieces get as far as the pattern.
+_MARKS = frozenset("!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~")
+#: Pieces that are encoded by themselves: with blanks, or with what added tokens begin with.
+_JOINS_BADLY = re.compile(r"[\s<]")
 _worker: dict = keep_cache({})
 
 
@@ -45,6 +49,8 @@ class _Pieces:
     def _encode(self, words: list[str], lead: str, into: dict, tokenizer, kind: str) -> None:
         import numpy as np
 
+        if lead == " " and (starts := _worker["starts"]) is not None:
+            words = self._encode_joined(words, starts, into, tokenizer, kind)
         for at in range(0, len(words), 20_000):
             part = words[at : at + 20_000]
             ids = [e.ids for e in tokenizer.encode_batch_fast([lead + x for x in part], add_special_tokens=False)]
@@ -56,23 +62,57 @@ class _Pieces:
                 into[word] = flat[at_:end]
                 at_ = end
 
+    @staticmethod
+    def _encode_joined(words: list[str], starts, into: dict, tokenizer, kind: str) -> list[str]:
+        """Encode words as one text, each after a space, and cut it where a token begins with that space; returns those left out, which hold a space or might hold an added token."""
+        import numpy as np
+
+        plain = [w for w in words if w and not _JOINS_BADLY.search(w)]
+        left = [w for w in words if not w or _JOINS_BADLY.search(w)] if len(plain) < len(words) else []
+        size = np.dtype(kind).itemsize
+        for at in range(0, len(plain), 4_000):
+            part = plain[at : at + 4_000]
+            ids = np.array(tokenizer.encode_batch_fast([" " + " ".join(part)], add_special_tokens=False)[0].ids, np.int64)
+            cuts = np.flatnonzero(starts[ids])
+            if len(cuts) != len(part) or cuts[0]:
+                left += part
+                continue
+            flat, ends, at_ = ids.astype(kind).tobytes(), [*(cuts[1:] * size).tolist(), len(ids) * size], 0
+            for word, end in zip(part, ends, strict=True):
+                into[word] = flat[at_:end]
+                at_ = end
+        return left
+
     def learn(self, needed: set, tokenizer, kind: str) -> set:
         """Make all needed pieces known; returns those too long to keep."""
-        missing = needed - self.known.keys()
+        # not `needed - known.keys()`, which walks the whole cache for each batch
+        missing = needed.difference(self.known)
         if not missing:
             return missing
         if len(self.known) + len(missing) > self.most:
             self.known = {k: v for k, v in self.known.items() if k in needed}
         if len(self.tails) > self.most // 16:
             self.tails = {}
-        split = [(w, *m.groups()) for w in missing if (m := _TAIL.fullmatch(w)) and "<|" not in w]
+        split = [(w, *m.groups()) for w in missing if w[-1:] in _MARKS and (m := _TAIL.fullmatch(w)) and "<|" not in w]
         whole = missing.difference(w for w, _, _ in split)
         whole.update(core for _, core, _ in split if core not in self.known)
         self._encode(list(whole), self.lead, self.known, tokenizer, kind)
-        self._encode(list({t for _, _, t in split} - self.tails.keys()), "", self.tails, tokenizer, kind)
+        self._encode(list({t for _, _, t in split}.difference(self.tails)), "", self.tails, tokenizer, kind)
         for w, core, tail in split:
             self.known[w] = self.known[core] + self.tails[tail]
-        return {w for w in (*whole, *missing) if len(w) > CACHE_CHARS}
+        return {w for w in whole | missing if len(w) > CACHE_CHARS}
+
+
+def _space_tokens(tokenizer):
+    """For each id whether its token begins with a space; None if an added token could be part of a piece without '<'."""
+    import numpy as np
+
+    if not all("<" in t.content for t in tokenizer.get_added_tokens_decoder().values()):
+        return None
+    starts = np.zeros(tokenizer.get_vocab_size(with_added_tokens=True), bool)
+    for token, i in tokenizer.get_vocab(with_added_tokens=False).items():
+        starts[i] = token.startswith("\u0120")  # the byte-level form of a space
+    return starts
 
 
 def _open(path: str):
@@ -86,7 +126,7 @@ def _open(path: str):
         tokenizer.no_padding()
         tokenizer.no_truncation()
         _worker.clear()
-        _worker.update(key=path, tokenizer=tokenizer, first=_Pieces(""), later=_Pieces(" "), size=tokenizer.get_vocab_size(with_added_tokens=True))
+        _worker.update(key=path, tokenizer=tokenizer, first=_Pieces(""), later=_Pieces(" "), size=tokenizer.get_vocab_size(with_added_tokens=True), starts=_space_tokens(tokenizer))
     return _worker
 
 

@@ -46,3 +46,22 @@ def test_a_name_read_many_times_is_cleaned_once(spark):
     assert got.keys() == {1, 3} and got[1][0] == got[3][0] == "Milk 2,5% fresh" and 0 < got[1][1] < 0.5 and got[3][1] == 1.0
     text = plan(out)
     assert "Join" in text and text.index("Join") < text.index("штрих") and "Aggregate [_name" in text
+
+
+def test_pieces_encoded_as_one_text_are_as_alone():
+    import public_tokenizers
+
+    from labelwright.llm import token_files as T
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    words = ["plain", "Größe", "don't", "x...", "<|endoftext|>", "a<|endoftext|>b", "a\tb", " x", "a\x0b", "日本語", "\U0001f600!", "1,234.5%", "a b", "Ġx", "_", "é́", "x" * 60, "'s", "﻿z", "a\r"]
+    texts = [" ".join(words[i:] + words[:i]) for i in range(len(words))] + ["", " ", "  a  b ", "\n\n a\n b", "a\n b \n"]
+    T._open(path)
+    alone = [x.ids for x in T._worker["tokenizer"].encode_batch(texts, add_special_tokens=False)]
+    import numpy as np
+
+    assert [np.frombuffer(b, "<u2").tolist() for b in T.encode_texts(texts, path, 2)] == alone
+
+    made = {}
+    left = T._Pieces._encode_joined(["one", "two", "t o", "<|x"], T._worker["starts"], made, T._worker["tokenizer"], "<u2")
+    assert left == ["t o", "<|x"] and made.keys() == {"one", "two"}
