@@ -65,3 +65,13 @@ def test_pieces_encoded_as_one_text_are_as_alone():
     made = {}
     left = T._Pieces._encode_joined(["one", "two", "t o", "<|x"], T._worker["starts"], made, T._worker["tokenizer"], "<u2")
     assert left == ["t o", "<|x"] and made.keys() == {"one", "two"}
+
+
+def test_number_boxes_are_read_once_for_both_sides(spark):
+    from labelwright.operators import boxes as B
+
+    box = "struct<text:string,conf:double,x0:double,y0:double,x1:double,y1:double>"
+    df = spark.createDataFrame([([("129", 0.9, 0.1, 0.6, 0.4, 0.8), ("90", 0.9, 0.42, 0.6, 0.5, 0.7), ("12.03.2026 10:20", 0.9, 0.1, 0.9, 0.5, 0.95)],)], f"b array<{box}>")
+    out = df.select(B.price_candidates("b", F.transform("b", lambda x: x["text"])).alias("c"))
+    assert [c.value for c in out.first().c] == [129.0, 90.0, 129.9]
+    assert plan(out).count("[a-zа-яё]") == 1
