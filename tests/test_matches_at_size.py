@@ -2,6 +2,7 @@
 
 from labelwright.functions.text import token_set
 from labelwright.operators import catalog as C
+from labelwright.operators import evaluate as E
 from labelwright.schema import CATALOG_COLUMNS
 
 
@@ -38,3 +39,20 @@ def test_similarity_is_that_of_the_plain_table():
 
     for a, b in (("kitten", "sitting"), ("молоко", "молочко"), ("abcabba", "cbabac"), ("x" * 70, "xy" * 50)):
         assert token_set(a, b) == plain(a, b)
+
+
+def test_columns_that_nobody_asks_for_are_not_made(spark):
+    side = "video string, {0} long, barcode string, code string"
+    truth, pred = spark.createDataFrame([("v", 1, "1", "a"), ("v", 2, "2", "b")], side.format("gt_id")), spark.createDataFrame([("v", 7, "1", "x")], side.format("pred_id"))
+    found = spark.createDataFrame([("v", 1, 7, "barcode", 100.0)], "video string, gt_id long, pred_id long, matched_by string, score double")
+    whole = E.score(found, pred, truth, ["barcode", "code"])
+    few = E.score(found, pred, truth, ["barcode", "code"], columns=["video", "matched_by", "field_score", "pass80"])
+    assert few.columns == ["video", "matched_by", "field_score", "pass80"] and sorted(map(tuple, few.collect())) == sorted(map(tuple, whole.select(few.columns).collect()))
+    made = few._jdf.queryExecution().analyzed().toString()
+    assert "to_json" not in made and "zip_with" not in made
+
+
+def test_videos_are_dealt_over_more_parts_than_cores(spark):
+    box = "x_min double, y_min double, x_max double, y_max double"
+    one = spark.createDataFrame([(str(i), i, 0.0, 1.0, 1.0, 2.0, 2.0) for i in range(40)], f"video string, gt_id long, t double, {box}")
+    assert E._by_video([one], "video").rdd.getNumPartitions() == 16 * spark.sparkContext.defaultParallelism
