@@ -88,3 +88,67 @@ def test_near_pairs_equal_those_of_all_pairs_and_ask_few_cells(spark):
     assert sorted(map(tuple, out.collect())) == sorted(want) and len(want) > 20
     asked = [line for line in out._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Generate explode(" in line]
     assert asked and not any("-1, 0, 1" in line or "transform" in line for line in asked)
+
+
+def _tags(spark, rows):
+    """Tag rows with '' where nothing is given; keys of rows: id and columns."""
+    from labelwright.schema import TAG_COLUMNS
+
+    places = ("x_min", "y_min", "x_max", "y_max", "frame_timestamp")
+    made = [(r["id"], *({**dict.fromkeys(TAG_COLUMNS, ""), "filename": "v", **dict.fromkeys(places, 0.0), **r}[c] for c in TAG_COLUMNS)) for r in rows]
+    return spark.createDataFrame(made, "row_id long, " + ", ".join(f"{c} {'double' if c in places else 'string'}" for c in TAG_COLUMNS))
+
+
+def test_all_pairs_of_a_code_are_given(spark):
+    from labelwright.operators.dedup import code_key, near_pairs
+
+    codes = ["4600000000015"] * 4 + ["4006381333931"] * 2 + ["", "4600000000016"]
+    files = ["v"] * 3 + [None, "v", "w", "v", "v"]
+    df = _tags(spark, [{"id": i, "barcode": c, "filename": f} for i, (c, f) in enumerate(zip(codes, files, strict=True))])
+    assert "4600000000015" in {r.code for r in df.select(code_key().alias("code")).collect()}
+    inside = {(0, 1, "code"), (0, 2, "code"), (1, 2, "code")}
+    assert set(map(tuple, near_pairs(df).collect())) == inside
+    assert set(map(tuple, near_pairs(df, group=None).collect())) == inside | {(0, 3, "code"), (1, 3, "code"), (2, 3, "code"), (4, 5, "code")}
+
+
+def test_near_boxes_of_any_limit_size_and_file_come_up_once(spark):
+    from labelwright.operators.dedup import near_pairs
+
+    draw, rows = np.random.default_rng(5), []
+    for i in range(260):
+        x, y, w, h = (float(v) for v in (draw.integers(-40, 40) * 23, draw.integers(-20, 20) * 31, draw.choice([0, 90, 250, 400, 900, 1700]), draw.choice([80, 260, 410, 1500])))
+        code = ("", "", "4600000000015", "4006381333931")[draw.integers(0, 4)]
+        rows.append({"id": i, "barcode": code, "filename": ("v", "w", None)[draw.integers(0, 3)], "x_min": x, "y_min": y, "x_max": x + w, "y_max": y + h, "frame_timestamp": float(draw.choice([0, 1500, 5999, 6000, 7500, 1e6]))})
+    rows.append(rows[0] | {"id": 260, "x_max": float("nan")})
+    rows.append(rows[1] | {"id": 261, "frame_timestamp": None})
+    df = _tags(spark, rows)
+
+    def over(a, b):
+        w, h = (max(0.0, min(a[f"{c}_max"], b[f"{c}_max"]) - max(a[f"{c}_min"], b[f"{c}_min"])) for c in "xy")
+        union = sum((r["x_max"] - r["x_min"]) * (r["y_max"] - r["y_min"]) for r in (a, b)) - w * h
+        return w * h / union if union else 0.0
+
+    for limit in (0.6, 0.3, 0.05, 1.0, 0.0):
+        want = [(a["id"], b["id"]) for i, a in enumerate(rows[:260]) for b in rows[i + 1 : 260] if a["filename"] == b["filename"] and abs(a["frame_timestamp"] - b["frame_timestamp"]) <= 1500 and not (a["barcode"] and b["barcode"]) and over(a, b) >= limit]
+        assert sorted((r.a, r.b) for r in near_pairs(df, least_iou=limit).where("why = 'box'").collect()) == sorted(want) and (want or limit == 1.0)
+
+
+def test_tiles_that_come_in_pieces_are_whole():
+    """A tile spread over many batches, and a long run of one row, give the pairs of one batch."""
+    import pyarrow as pa
+
+    from labelwright.operators import near_boxes as N
+
+    n = 500
+    cols = {"file": ["v"] * n, "lv": [0] * n, "tb": [0] * n, "tx": [i // 300 for i in range(n)], "ty": [0] * n, "id": list(range(n)), "coded": [False] * n, "t": [0.0] * n}
+    x = [float(i // 300 * 400 + i % 7) for i in range(n)]
+    cols |= {"x_min": x, "y_min": [0.0] * n, "x_max": [v + 100 for v in x], "y_max": [100.0] * n, "home": [True] * n}
+    batch = pa.RecordBatch.from_pydict(cols)
+    pieces = [batch.slice(i, 37) for i in range(0, n, 37)]
+    rows, pairs = N.ROWS, N.PAIRS
+    try:
+        N.ROWS, N.PAIRS = 50, 64
+        out = [tuple(sorted(p)) for b in N.near_boxes(iter(pieces), 0.6, 1500.0, 400.0) for p in zip(*(c.to_pylist() for c in b.columns), strict=True)]
+    finally:
+        N.ROWS, N.PAIRS = rows, pairs
+    assert sorted(out) == [(i, j) for i in range(n) for j in range(i + 1, n) if i // 300 == j // 300]
